@@ -20,6 +20,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Blanks and ASCII signs: what is left are runs of letters and digits.
+SIGNS = np.array([chr(i).isascii() and not chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -52,6 +54,12 @@ class Words:
     first: np.ndarray
     data: np.ndarray
     text_at: np.ndarray  # byte offset of each text, and the end
+    total: np.ndarray  # running sum under the word hashes
+
+    def heads(self, size: int) -> np.ndarray:
+        """Hash of the first size bytes of each word, or of the whole word if it has fewer."""
+        stop = np.minimum(self.start + size, self.end)
+        return mix((self.total[stop] - self.total[self.start]) * _power("down", len(self.total))[self.start] + np.uint64(0x1000003) * np.uint64(size))
 
     def shingles(self, k: int) -> np.ndarray:
         """Hash of the k words from each position on; those that leave their text mean nothing."""
@@ -87,9 +95,9 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def words(at: np.ndarray, raw: np.ndarray) -> Words:
+def words(at: np.ndarray, raw: np.ndarray, blank: np.ndarray = _BLANK) -> Words:
     n = len(raw)
-    solid = ~_BLANK[raw]
+    solid = ~blank[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     left = edge[:n].copy()
@@ -101,7 +109,7 @@ def words(at: np.ndarray, raw: np.ndarray) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * _power("up", n), out=total[1:])
     hashes = mix((total[end] - total[start]) * _power("down", n + 1)[start] + (end - start).astype(np.uint64))
-    return Words(hashes, start, end, np.searchsorted(start, at).astype(np.int64), raw, at)
+    return Words(hashes, start, end, np.searchsorted(start, at).astype(np.int64), raw, at, total)
 
 
 def set_of(w: Words, i: int, k: int, grams: np.ndarray) -> np.ndarray:
