@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup as lines
+from graphloom.llm.decontaminate import hits
 from graphloom.llm.jaccard_join import jaccard_join
 from graphloom.llm.toxicity import fit, held_out, toxicity
 
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,7 +38,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_line_dedup, op9_toxicity, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op7_line_dedup, op9_toxicity, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
