@@ -7,14 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine)
-    does a temporary folder take its place.
-    """
-    spark: SparkSession = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: spark.checkpoint.dir of the session, and only where that is unset
+    (tests on one machine) a temporary folder."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
