@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import line_dedup as lines
 from graphloom.llm.decontaminate import hits
 from graphloom.llm.jaccard_join import jaccard_join
+from graphloom.llm.passage_dedup import repeated_passages
 from graphloom.llm.piece_codec import Codec, encode
 from graphloom.llm.toxicity import fit, held_out, toxicity
 
@@ -24,6 +25,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), Codec.load())
 
@@ -43,7 +48,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op5_sentencepiece, op7_line_dedup, op9_toxicity, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_substring_dedup, op5_sentencepiece, op7_line_dedup, op9_toxicity, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
