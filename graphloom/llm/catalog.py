@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import chat_format, license_scan, tiff_media
 from graphloom.llm import line_dedup as lines
 from graphloom.llm.decontaminate import hits
 from graphloom.llm.jaccard_join import jaccard_join
 from graphloom.llm.passage_dedup import repeated_passages
 from graphloom.llm.piece_codec import Codec, encode
+from graphloom.llm.token_counts import Vocabulary, token_counts
 from graphloom.llm.toxicity import fit, held_out, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    raw = chat_format.raw_lines(turns)
+    model = chat_format.fit(raw.withColumn("symbol", chat_format.features(F.col("line"))), turns)
+    return chat_format.parse(raw, model)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,14 +38,26 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_media.features(tiff_media.store(_table(spark, sf_dir, "documents")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), Codec.load())
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), Vocabulary.load())
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
@@ -48,8 +69,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_substring_dedup, op5_sentencepiece, op7_line_dedup, op9_toxicity, op10_ngram_jaccard_join)}
+    found = (
+        op1_chat_formatting, op2_benchmark_decontamination, op3_substring_dedup, op4_media_columns, op5_sentencepiece,
+        op6_license_scans, op7_line_dedup, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": lines.ORACLE}
+    return {"op6_license_scans": license_scan.oracle(), "op7_line_dedup": lines.ORACLE}
