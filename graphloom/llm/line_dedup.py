@@ -59,11 +59,13 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     spans = later.select("id", "tk", start.alias("s"), (F.col("p") + WINDOW - 1).alias("e")).filter("s <= e")
     covered = spans.groupBy("id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("gl_spans")).select(F.col("id").alias("gl_id"), F.col("tk").alias("gl_key"), "gl_spans")
     out = docs.drop("removed_lines").join(covered, (F.col(doc_id) == F.col("gl_id")) & (key == F.col("gl_key")), "left")
-    out = out.withColumn("gl_lines", F.when(F.col("gl_spans").isNotNull(), F.split(F.col(text), "\n")))
+    # each exploded from an array of one: else the optimizer would make it anew for each line that uses it
+    once = lambda x: F.explode(F.array(x))
+    out = out.withColumn("gl_lines", once(F.when(F.col("gl_spans").isNotNull(), F.split(F.col(text), "\n"))))
     numbered = F.transform("gl_lines", lambda line, i: F.when(F.btrim(line, F.lit(BLANKS)) != "", i))
-    out = out.withColumn("gl_solid", F.filter(numbered, lambda i: i.isNotNull()))
+    out = out.withColumn("gl_solid", once(F.filter(numbered, lambda i: i.isNotNull())))
     gone = F.array_distinct(F.flatten(F.transform("gl_spans", lambda s: F.slice("gl_solid", s["s"] + 1, s["e"] - s["s"] + 1))))
-    out = out.withColumn("gl_gone", gone)
+    out = out.withColumn("gl_gone", once(gone))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("gl_lines") - 1), "gl_gone"), lambda i: F.get("gl_lines", i))
     new = F.when(F.col("gl_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     out = out.withColumns({text: new, "removed_lines": F.coalesce(F.size("gl_gone"), F.lit(0)).cast("long")})

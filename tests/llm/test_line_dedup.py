@@ -47,3 +47,12 @@ def test_odd_rows(spark):
 def test_equals_sql(spark, sf):
     df = line_dedup(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     assert rows(df) == sql_rows(ORACLE, sf)
+
+
+def test_time_follows_the_number_of_lines(spark):
+    import time
+
+    text = "\n".join(f"line {i % 7000}" for i in range(30000))
+    began = time.time()
+    out = line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.removed_lines for r in out] == [23000, 30000] and time.time() - began < 60
