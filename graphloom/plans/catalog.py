@@ -2,10 +2,215 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import atlas as A
+from graphloom.operators import graph as G
+from graphloom.plans import oracle
+from graphloom.plans.routes import matched
+from graphloom.sources.projection import event_chain, graph, read
+from graphloom.streaming import telemetry
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FOCUS, SUPPLIER, ORDER = 100, 10_003, 100_000_005
+
+
+def _view(level: str, focus: int | None = None) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return G.view(graph(spark, d), level, focus).withColumn("labels", F.array_join("labels", "|"))
+
+    return run
+
+
+def _over(f: Callable, home: bool = False) -> Query:
+    return lambda spark, d: f(graph(spark, d, home))
+
+
+def _on(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(read(spark, d, table))
+
+
+def _traces_summary(g) -> DataFrame:
+    """Of each entry whose calls reach a flow: distinct steps and hops, by two joins over distinct hops."""
+    h = G.hops(g)
+    ent = G.entries(h)
+    one = h.filter("kind = 'calls'").join(ent, h.src == ent.id, "left_semi").select(F.col("src").alias("entry"), F.col("dst").alias("mid")).distinct()
+    two = one.join(h.filter("kind = 'flow'").select(F.col("src").alias("mid"), F.col("dst").alias("leaf")).distinct(), "mid")
+    return one.groupBy("entry").agg(F.count("*").alias("mids")).join(two.groupBy("entry").agg(F.count("*").alias("hops")), "entry").select("entry", (F.lit(1) + F.col("mids") + F.col("hops")).alias("steps"), "hops")
+
+
+def _cycles(level: str) -> Callable:
+    return lambda g: G.cycles(G.view(g, level))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("journey"), F.col("turn").alias("ord"), F.col("role").alias("src"), F.lead("role").over(w).alias("dst"), F.when(F.contains("text", F.lit("?")), "ask").otherwise("tell").alias("what"))
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    backed = docs.filter("doc_id % 3 > 0").select(F.col("doc_id").alias("src"), (F.col("n_chars") % 7).alias("dst"), F.col("lang").alias("label"))
+    word = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    claims = labels.join(docs.select("doc_id"), "doc_id").select(F.col("doc_id").alias("src"), (F.col("doc_id") % 7).alias("dst"), word.alias("label"))
+    return A.overlay(backed, claims)
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    return docs.agg(F.count_if(F.col("known").isNotNull()).alias("backed"), F.count_if(F.col("known").isNull()).alias("claimed"), F.count_if(F.col("source") == "src0").alias("survey"))
+
+
+def _endpoints(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages")
+    handlers = pages.select(T.normalize_route(F.col("url")).alias("key")).filter("key is not null").groupBy("key").agg(F.count("*").alias("handlers"))
+    callers = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h")).select(T.normalize_route(F.col("h")).alias("key")).filter("key is not null").groupBy("key").agg(F.count("*").alias("callers"))
+    status = F.when(F.col("callers").isNull(), "no-callers").when(F.col("handlers").isNull(), "no-handler").otherwise("ok")
+    return handlers.join(callers, "key", "full").select("key", F.coalesce("handlers", F.lit(0)).alias("handlers"), F.coalesce("callers", F.lit(0)).alias("callers"), status.alias("status")).orderBy(F.col("status") == "ok", "key")
+
+
+def _routes(spark: SparkSession, d: str) -> DataFrame:
+    routes = read(spark, d, "pages").select(T.normalize_route(F.col("url")).alias("route")).filter("route is not null").distinct()
+    return matched(routes, routes).filter("client <> server")
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The deepest package directory that is a prefix of each page's path: prefixes exploded, one equi-join."""
+    pages = read(spark, d, "pages")
+    parts = F.split("url", "/")
+    packages = F.broadcast(spark.createDataFrame([("http:",), ("https:",)], "package string")).unionByName(pages.filter(F.size(parts) > 4).select(F.array_join(F.slice(parts, 1, 4), "/").alias("package")).distinct())
+    prefixes = pages.select("page_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("depth", "package"))
+    return prefixes.join(packages, "package").groupBy("page_id").agg(F.max_by("package", "depth").alias("package"))
+
+
+def _innermost(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest interval around each event, the first of equals; null without one."""
+    events, nation = read(spark, d, "events").select("event_id", "user_id"), read(spark, d, "nation")
+    low = F.col("n_nationkey") * 6
+    spans = nation.select(F.col("n_nationkey").alias("def"), (F.col("n_nationkey") % 5).alias("size"), F.explode(F.sequence(low.cast("long"), (low + (F.col("n_nationkey") % 5) * 10).cast("long"))).alias("user_id"))
+    inner = spans.groupBy("user_id").agg(F.min_by("def", F.struct("size", "def")).alias("def"))
+    return events.join(inner, "user_id", "left").select("event_id", "def")
+
+
+def _evidence(g) -> DataFrame:
+    parent = g.nodes.select("id", "parent")
+    e = g.edges.filter("kind = 'calls'").join(parent.select(F.col("id").alias("src"), F.col("parent").alias("p")), "src").join(parent.select(F.col("id").alias("dst"), F.col("parent").alias("q")), "dst")
+    return A.capped_evidence(e.select(F.col("p").alias("src"), F.col("q").alias("dst"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("via")))
+
+
+def _relationships(g) -> DataFrame:
+    up = G.lift(g, G.kept(g, "package"))
+    e = g.edges.filter("kind <> 'contains'").join(up.select(F.col("node").alias("src"), F.col("target").alias("a")), "src").join(up.select(F.col("node").alias("dst"), F.col("target").alias("b")), "dst")
+    return A.relationship_label(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "label"))
+
+
+def _dep_rank(g) -> DataFrame:
+    at = g.nodes.select(F.col("id").alias("src"), F.col("parent").alias("package"))
+    return A.dependency_rank(g.edges.filter("kind = 'imports'").join(at, "src").select("package", F.col("dst").alias("dep"), "weight"))
+
+
+def _ancestor_package(g) -> DataFrame:
+    packs = g.nodes.filter("kind = 'package'").select(F.col("id").alias("ancestor"))
+    return g.closure.join(packs, "ancestor").groupBy("node").agg(F.min_by("ancestor", "dist").alias("package"))
+
+
+def _rank_pick(events: DataFrame) -> DataFrame:
+    return A.pick(events.select(F.col("user_id").alias("journey"), F.col("event_type").alias("container"), F.col("event_id").alias("ord")), 12)
+
+
+def _rank_traces(spark: SparkSession, d: str) -> DataFrame:
+    chain = event_chain(spark, d)
+    t = chain.groupBy(F.col("user_id").alias("trace")).agg(
+        F.bool_or((F.col("pos") == 0) & (F.col("event_type") == "signup")).alias("known"), F.min_by("event_type", "pos").alias("start"), F.array_sort(F.collect_set(F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type")))).alias("boundaries"),
+        F.array_sort(F.collect_set("event_type")).alias("packages"), F.count_if(F.col("next_type") != F.col("event_type")).alias("hops"), F.count_distinct("event_type").alias("langs"), F.count("*").alias("steps"))
+    return A.rank_traces(t, 8)
+
+
+def _log(events: DataFrame) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warn").when(F.col("event_type") == "signup", "info").otherwise("debug")
+    return telemetry.log_query(events.select(F.col("event_id").alias("seq"), level.alias("level"), F.col("props").alias("message")), 500, "info", '"k": 7', 50)
+
+
+def _upsert(spark: SparkSession, d: str) -> DataFrame:
+    ids = read(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    return A.upsert(ids.withColumn("state", F.lit("kept")), ids.filter("id % 5 = 0 and id % 7 <> 0").withColumn("state", F.lit("changed")), ids.filter("id % 7 = 0"))
+
+
+def _fps(events: DataFrame) -> DataFrame:
+    return telemetry.frames(events, "ts", "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "frames")
+
+
+def queries() -> dict[str, Query]:
+    c = F.col
+    return {
+        "view_package": _view("package"),
+        "view_file": _view("file"),
+        "view_symbol": _view("symbol"),
+        "view_focus_nation": _view("package", FOCUS),
+        "view_degree": _over(lambda g: G.degree(G.view(g, "package"))),
+        "hotspots_file": _over(lambda g: G.hotspots(g, "file")),
+        "hotspots_package": _over(lambda g: G.hotspots(g, "package")),
+        "neighbours_supplier": _over(lambda g: G.neighbours(g, SUPPLIER)),
+        "neighbours_order": _over(lambda g: G.neighbours(g, ORDER)),
+        "stats_overview": _over(G.stats),
+        "stats_by_kind": _over(lambda g: g.nodes.groupBy("kind", "external").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"))),
+        "loc_propagated": _over(G.loc_propagated),
+        "edge_dedup_weight": _over(lambda g: g.edges.groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))),
+        "closure_all": _over(lambda g: g.closure),
+        "ancestor_package": _over(_ancestor_package),
+        "search_parts": _over(lambda g: G.search(g.nodes, "nation_1", 20)),
+        "search_empty": _over(lambda g: G.search(g.nodes, "", 50)),
+        "nodes_filtered": _over(lambda g: g.nodes.filter((c("kind") == "file") & F.exists("tags", lambda t: t.startswith("route:/b")) & c("path").contains("7")).select("id", "path")),
+        "boundaries_all": _over(lambda g: G.boundaries(g.nodes).select("id", "path")),
+        "boundaries_prefix": _over(lambda g: G.boundaries(g.nodes, "http-s").select("id", "path")),
+        "flows_rows": _over(G.flows),
+        "hops": _over(G.hops),
+        "entries": _over(lambda g: G.entries(G.hops(g))),
+        "sinks": _over(G.sinks),
+        "leads_somewhere": _over(G.leads_somewhere),
+        "traces_summary": _over(_traces_summary),
+        "cycles_file": _over(_cycles("file"), home=True),
+        "cycles_package": _over(_cycles("package")),
+        "path_between_files": _over(lambda g: G.path_between(g.edges, 100_000_001, 1_000_007)),
+        "routes_normalized": _on("pages", lambda p: p.select("page_id", "url", T.normalize_route(c("url")).alias("route"))),
+        "routes_matched": _routes,
+        "endpoints_gaps": _endpoints,
+        "lang_of_path": _on("pages", lambda p: p.select("page_id", T.language(c("url")).alias("lang"))),
+        "loc_nonblank": _on("documents", lambda x: x.select("doc_id", T.nonblank_lines(c("text")).alias("loc"))),
+        "minified": _on("documents", lambda x: x.select("doc_id", T.minified(c("text")).alias("minified"))),
+        "slug_title": _on("part", lambda p: p.select("p_partkey", T.slug(c("p_name")).alias("slug"), T.title_case(c("p_name")).alias("title"))),
+        "span_stats": _on("events", lambda e: telemetry.span_stats(e.select(c("event_type").alias("name"), c("value").alias("ms"), c("event_id").alias("seq")))),
+        "log_query": _on("events", _log),
+        "ring_buffer": _on("events", lambda e: telemetry.ring(e.select(c("event_id").alias("seq"), c("event_type").alias("level")))),
+        "fps_tumbling": _on("events", _fps),
+        "reducer_by_user": _on("events", lambda e: telemetry.reducer(e.select(c("event_type").alias("role"), c("user_id").alias("target"), F.when(c("value") > 100, "done").when(c("value") > 10, "reading").alias("kind"), c("value").alias("cost"), c("props").alias("path"), c("event_id").alias("seq")))),
+        "event_chain_runs": lambda s, d: event_chain(s, d).groupBy("user_id").agg(F.count("*").alias("steps"), F.count_if(c("next_type") != c("event_type")).alias("hops"), F.bool_or(c("event_type").isin("purchase", "error")).alias("sinks")),
+        "journey_project_containers": lambda s, d: A.project(_messages(s, d), c("what")),
+        "journey_participants": _on("conversations", lambda x: x.groupBy("conv_id").agg(F.array_join(G.ordered(c("role"), c("turn")), ",").alias("participants"))),
+        "messages_dedup": _on("conversations", lambda x: x.groupBy("conv_id", "role").agg(F.min("turn").alias("turn"), F.count("*").alias("n"))),
+        "claims_overlay": _claims,
+        "verify_report": _report,
+        "components_group": _on("pages", lambda p: p.select("page_id", A.component_of(c("url")).alias("component"))),
+        "unplaced_files": lambda s, d: read(s, d, "supplier").join(read(s, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09"), c("s_suppkey") == c("l_suppkey"), "left_anti").select("s_suppkey"),
+        "externals_named": _on("orders", lambda o: o.groupBy(c("o_orderstatus").alias("kind")).agg(F.min_by("o_orderpriority", "o_orderkey").alias("name"), F.count("*").alias("n"))),
+        "main_language": _on("documents", lambda x: A.main_language(x.select(c("source").alias("package"), "lang", F.floor(c("n_chars") / 1000).alias("loc")))),
+        "dep_rank": _over(_dep_rank),
+        "tags_union": _on("events", lambda e: A.tag_union(e.select(c("user_id").alias("id"), c("event_type").alias("tag"), c("event_id").alias("ord")))),
+        "evidence_capped": _over(_evidence),
+        "relationship_label": _over(_relationships),
+        "rank_pick": _on("events", _rank_pick),
+        "rank_traces_greedy": _rank_traces,
+        "set_difference": lambda s, d: read(s, d, "benchmark").join(read(s, d, "labels").filter("toxic = 1"), c("item_id") == c("doc_id"), "left_anti").select("item_id"),
+        "set_union_priority": lambda s, d: A.union_by_priority([read(s, d, "labels").join(read(s, d, "documents").select("doc_id"), "doc_id", "left_semi").select(c("doc_id").alias("id"), F.lit("label").alias("source")), read(s, d, "documents").select(c("doc_id").alias("id"), F.lit("document").alias("source"))], ["id"]),
+        "upsert_journey": _upsert,
+        "prefix_join_nearest": _nearest,
+        "range_join_innermost": _innermost,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracles()
