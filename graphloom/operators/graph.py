@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.durable import cut
-from graphloom.sources.projection import Graph
+from graphloom.sources.projection import DEPTH, Graph
 
 # Tags that bound a system, and those that end a trace.
 BOUNDARY_TAGS = ("db", "env", "fs", "http-client", "http-server", "ipc-client", "ipc-server", "process", "queue")
@@ -14,18 +14,27 @@ SINK_TAGS = ("db", "fs", "queue", "process")
 LABELS = 6
 
 
-def kept(g: Graph, level: str, focus: int | None = None) -> DataFrame:
-    """(id) of the nodes a view shows: those of the level, externals, and the children of the focus in its place."""
+def kept(level: str, focus: int | None = None) -> Column:
+    """Whether a view shows a node: those of the level, externals, and the children of the focus in its place."""
     keep = (F.col("kind") == level) | (F.col("external") if level in ("package", "file", "symbol") else F.lit(False))
     if focus is not None:
         deeper = {"repo": "package", "package": "file", "file": "symbol"}[level]
         keep = (keep & (F.col("id") != focus)) | ((F.col("parent") == focus) & (F.col("kind") == deeper))
-    return g.nodes.filter(keep).select("id")
+    return F.coalesce(keep, F.lit(False))
 
 
-def lift(g: Graph, keep: DataFrame) -> DataFrame:
-    """(node, target): the nearest kept ancestor of each node, itself first."""
-    return g.closure.join(keep, g.closure.ancestor == keep.id, "left_semi").groupBy("node").agg(F.min_by("ancestor", "dist").alias("target"))
+def lift(g: Graph, keep: Column) -> DataFrame:
+    """(node, target): the nearest kept ancestor of each node, itself first. Nodes climb a level at a time, and
+    only those that have not arrived join the next."""
+    n = g.nodes.select("id", "parent", keep.alias("kept"))
+    out = n.filter("kept").select(F.col("id").alias("node"), F.col("id").alias("target"))
+    open_ = n.filter("not kept and parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("at"))
+    up = n.select(F.col("id").alias("at"), "kept", "parent")
+    for _ in range(DEPTH):
+        step = open_.join(up, "at")
+        out = out.unionByName(step.filter("kept").select("node", F.col("at").alias("target")))
+        open_ = step.filter("not kept and parent is not null").select("node", F.col("parent").alias("at"))
+    return out
 
 
 def view(g: Graph, level: str, focus: int | None = None) -> DataFrame:
@@ -33,7 +42,7 @@ def view(g: Graph, level: str, focus: int | None = None) -> DataFrame:
 
     Edges are aggregated by the ends that they have first, so that the lift joins what is left.
     """
-    up = lift(g, kept(g, level, focus))
+    up = lift(g, kept(level, focus))
     lifted = g.edges.filter("kind <> 'contains'").join(up.select(F.col("node").alias("src"), F.col("target").alias("a")), "src").join(up.select(F.col("node").alias("dst"), F.col("target").alias("b")), "dst").filter("a <> b")
     by_label = lifted.groupBy("a", "b", "kind", "label").agg(F.sum("weight").alias("weight"))
     labels = F.slice(F.array_sort(F.collect_set("label")), 1, LABELS)

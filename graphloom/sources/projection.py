@@ -83,7 +83,8 @@ def graph(spark: SparkSession, sf_dir: str, home: bool = False) -> Graph:
     if not home:
         edges = edges.unionByName(edge(imports, c("o_custkey") + CUSTOMER, brand_id, "imports", F.lit(None)))
         edges = edges.unionByName(edge(contains, c("parent"), c("id"), "contains", F.lit(None)))
-    return Graph(all_nodes, edges)
+    # kept for the session, in memory or on disk: most queries read both several times, and a lost part is made anew
+    return Graph(all_nodes.persist(), edges.persist())
 
 
 def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
