@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import rules
 from graphloom.functions import text as T
 from graphloom.operators import atlas as A
 from graphloom.operators import graph as G
@@ -144,9 +145,36 @@ def _fps(events: DataFrame) -> DataFrame:
     return telemetry.frames(events, "ts", "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "frames")
 
 
+CALLEES = [
+    ("fetch", "typescript", "/api/x"), ("axios.get", "javascript", "http://h/a/1"), ("app.get", "python", "/users"), ("app.get", "python", "users"), ("invoke", "typescript", "scan"), ("ipcMain.handle", "typescript", "scan"),
+    ("listen", "rust", "x"), ("listen", "javascript", "x"), ("sqlx::query!", "rust", None), ("cursor.EXECUTE", "python", None), ("os.Getenv", "go", "HOME"), ("std::env::var", "rust", "lower"), ("open", "python", "f"), ("open", "go", "f"),
+    ("fs.readFileSync", "javascript", None), ("job.delay", "python", "mail"), ("kafka.publish", "go", "topic"), ("exec.Command", "go", "ls"), ("subprocess.run", "python", None), ("x.send", "rust", "/r"), ("http.HandleFunc", "go", "/jobs"), ("nothing", "go", None),
+]
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    calls = spark.createDataFrame(CALLEES, "callee string, lang string, first string").withColumn("strings", F.array_compact(F.array("first")))
+    kind = rules.call_class(F.col("callee"), F.col("lang"), F.col("strings"))
+    return calls.select("callee", "lang", F.coalesce("first", F.lit("")).alias("first"), F.coalesce(kind, F.lit("none")).alias("class"), F.array_join(F.coalesce(rules.call_tags(kind, F.col("strings")), F.array().cast("array<string>")), "|").alias("tags"))
+
+
+def _capped(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "lineitem").join(read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    label = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    return lines.groupBy("s_nationkey", "l_linestatus").agg(F.array_join(F.slice(F.array_sort(F.collect_set(label)), 1, G.LABELS), "|").alias("labels"), F.count("*").alias("weight"))
+
+
+def _traces_order(g) -> DataFrame:
+    return _traces_summary(g).orderBy(F.desc("hops"), F.desc("steps"), "entry").limit(20)
+
+
 def queries() -> dict[str, Query]:
     c = F.col
     return {
+        "view_labels_capped": _capped,
+        "tag_classify_calls": _classified,
+        "traces_order": _over(_traces_order),
+        "journey_merge": lambda s, d: A.merge_arrows(_messages(s, d).filter("dst is not null"), ["src", "dst"], "ord"),
         "view_package": _view("package"),
         "view_file": _view("file"),
         "view_symbol": _view("symbol"),

@@ -151,4 +151,25 @@ SELECT a.route AS client, b.route AS server FROM s a, s b WHERE a.route <> b.rou
   LEFT JOIN nation n ON e.user_id BETWEEN n.n_nationkey * 6 AND n.n_nationkey * 6 + (n.n_nationkey % 5) * 10) WHERE r = 1""",
         "externals_named": "SELECT o_orderstatus AS kind, arg_min(o_orderpriority, o_orderkey) AS name, count(*) AS n FROM orders GROUP BY 1",
     }
+    summary = out["traces_summary"]
+    out["traces_order"] = f"SELECT * FROM ({summary}) ORDER BY hops DESC, steps DESC, entry LIMIT 20"
+    out["journey_merge"] = f"WITH {MESSAGES}, " + PROJECTED.replace(" AND lag(kind) OVER w = kind", "").replace(" AND src <> dst", "") + " SELECT journey, src, dst, min(place)::BIGINT AS n, count(*) AS merged FROM i GROUP BY journey, island, src, dst"
+    out["view_labels_capped"] = "SELECT s_nationkey, l_linestatus, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linenumber))[1:6], '|') AS labels, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
+    out["tag_classify_calls"] = classified()
     return out
+
+
+def classified() -> str:
+    """The rules over the same calls, by DuckDB's regular expressions."""
+    from graphloom.functions.rules import CALLS
+    from graphloom.plans.catalog import CALLEES
+
+    text = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({text(a)}, {text(b)}, {text(f)})" for a, b, f in CALLEES)
+    more = {"ipc-server": " AND lang IN ('typescript', 'javascript')", "http-server": " AND starts_with(coalesce(first, ''), '/')", "fs": " OR (callee = 'open' AND lang = 'python')"}
+    cases = " ".join(f"WHEN regexp_matches(callee, {text(p)}){more.get(n, '')} THEN '{n}'" for n, p in CALLS.items())
+    route = ROUTE.format("first")
+    return f"""WITH calls(callee, lang, first) AS (VALUES {values}), k AS (SELECT *, CASE {cases} ELSE 'none' END AS class FROM calls)
+SELECT callee, lang, coalesce(first, '') AS first, class, CASE WHEN class = 'none' THEN '' ELSE array_to_string(list_filter([class, CASE
+  WHEN class = 'ipc-client' THEN 'ipc:' || first WHEN class IN ('http-server', 'http-client') THEN 'route:' || ({route}) WHEN class = 'env' AND regexp_matches(first, '^[A-Z0-9_]+$') THEN 'env:' || first
+  WHEN class = 'queue' THEN 'topic:' || first END], lambda x: x IS NOT NULL), '|') END AS tags FROM k"""
