@@ -12,6 +12,12 @@ c(a, b) = ceil(t (a + b) / (1 + t)):
   (all ties too). The agreeing block with the larger claim is large enough for both, so no link is
   lost, and a passage that thousands of texts share makes no list of its own.
 
+Postings travel packed, by ranges of keys. Before that each batch links its own members of a list and
+sends only the smallest of them on, so a list that a third of all sets are in is short where it is read.
+
+Sets still apart in a list of more than SHORT_LIST are compared in tiles of bounded size, which give only
+the links that join two components: their number grows with the list and not with its square.
+
 The boundary is where the count of subsets first exceeds the cost of the lists. Lists first link
 every member to the smallest one; only what is still in different components of one list is compared
 afterwards. All candidates are verified on their full sets.
@@ -36,6 +42,11 @@ from graphloom.llm.durable import cut
 WORDS, PERCENT = 3, 90
 #: A probe of a list costs about this many subset keys: lists hold more sets that turn out not to link.
 PROBE = 4
+#: Bytes of packed postings in one range of keys, and the most ids that are sent to all executors.
+RANGE_BYTES, BROADCAST_IDS = 48 << 20, 2_000_000
+#: Lists up to this length give pairs; of longer ones, tiles hold about this many shingles.
+SHORT_LIST, TILE_SHINGLES = 32, 1_500_000
+_LINK = "key long, rep long, head long"
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -161,6 +172,93 @@ def _verify(percent: int):
     return run
 
 
+def _groups(keys: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by key, the smallest set of each list, its place in them, and which lists have several."""
+    order = np.lexsort((reps, keys))
+    keys, reps = keys[order], reps[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    size = np.diff(np.append(first, len(keys)))
+    return keys, reps, first, size
+
+
+def _links(keys: np.ndarray, reps: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    many = np.repeat(size > 1, size)
+    return [_longs(keys[many]), pa.array(reps[many]), pa.array(np.repeat(reps[first], size)[many])]
+
+
+def _pack(parts: int):
+    """Of each batch: a packed row for each range of keys, and the links within the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, reps, first, size = _groups(keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size))
+            k, r, h = _links(keys, reps, first, size)
+            n = len(k)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), k, r, h], ["part", "packed", "key", "rep", "head"])
+            keys, reps = keys[first], reps[first]
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            at = np.concatenate((np.searchsorted(part, np.arange(parts)), [len(part)]))
+            rows = [(p, np.concatenate((keys[a:b], reps[a:b].view(np.uint64))).tobytes()) for p, a, b in zip(range(parts), at[:-1], at[1:], strict=True) if a < b]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), *[pa.nulls(n, pa.int64())] * 3], ["part", "packed", "key", "rep", "head"])
+
+    return run
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed")]
+    keys = np.concatenate([x[: len(x) // 2] for x in rows])
+    reps = np.concatenate([x[len(x) // 2 :] for x in rows]).view(np.int64)
+    return pa.table(_links(*_groups(keys, reps)), names=["key", "rep", "head"])
+
+
+def joining_links(component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Of all linked pairs of sets, enough to join their components: at most one for each two of them."""
+    size = np.array([len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, element = np.repeat(np.arange(len(sets)), size)[shared], number[place[shared]]
+    m, v = len(sets), int((count > 1).sum())
+    dense = m * m * (v // 64 + 1) < 2 * int((count.astype(np.int64) ** 2)[count > 1].sum()) + 1 and m * v <= 1 << 28
+    if dense:
+        grid = np.zeros((m, (v // 64 + 1) * 64), bool)
+        grid[owner, element] = True
+        rows = np.packbits(grid, axis=1).view(np.uint64)
+        del grid
+    else:
+        by = np.argsort(element, kind="stable")
+        lists, at = owner[by], np.concatenate(([0], np.cumsum(count[count > 1])))
+        first = np.searchsorted(owner, np.arange(m + 1))
+    label, out = component.copy(), []
+    for x in range(m - 1):
+        if dense:
+            both = np.bitwise_count(rows[x + 1 :] & rows[x]).sum(axis=1, dtype=np.int64)
+        else:
+            mine = element[first[x] : first[x + 1]]
+            both = np.bincount(np.concatenate([lists[at[e] : at[e + 1]] for e in mine]) if len(mine) else np.empty(0, np.int64), minlength=m)[x + 1 :]
+        near = np.flatnonzero((100 * both >= percent * (size[x] + size[x + 1 :] - both)) & (both > 0)) + x + 1
+        for y in near[np.unique(label[near], return_index=True)[1]].tolist():
+            if label[y] != label[x]:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, component = (table.column(c).to_numpy() for c in ("rep", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+        found = joining_links(component, sets, percent) if len(set(component.tolist())) > 1 else []
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in found], pa.int64()), "b": pa.array([int(ids[y]) for _, y in found], pa.int64())})
+
+    return run
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_size) for every row of docs (doc_id, text).
 
@@ -172,37 +270,54 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(base.mapInArrow(_profile(words, percent), "doc_id long, n_shingles long, low long, high long, keys array<long>"))
     real = seen.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(real.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min_by("keys", "doc_id").alias("keys")))
-    posts = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    lists = posts.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").drop("last")
-    shared = cut(posts.join(lists, "key"))  # only what is in lists with others: a small part of all
+    same = ["n_shingles", "low", "high"]
+    classes = cut(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 16 // 5 // RANGE_BYTES + 1)  # under a fifth of the shingles become postings
+    own = real.filter(F.size("keys") > 0).join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"]).dropDuplicates([*same, "doc_id"])
+    packed = cut(own.select("doc_id", "keys").mapInArrow(_pack(parts), f"part int, packed binary, {_LINK}"))
+    across = packed.filter("part is not null").select("part", "packed").groupBy("part").applyInArrow(_unpack, _LINK)
+    shared = cut(packed.filter("part is null").select("key", "rep", "head").unionByName(across))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, elements) of the documents of ids (doc_id)."""
+        ids = cut(ids.distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, elements binary")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose sets link."""
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, elements binary")
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
         x = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
 
     stars = cut(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
     # rows of one document in different classes join those classes
-    placed = real.join(classes.drop("keys"), ["n_shingles", "low", "high"]).select("doc_id", "rep").distinct()
+    placed = real.join(classes, same).select("doc_id", "rep").distinct()
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
     twice = placed.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     first = cut(linked(stars).unionByName(twice))
     part = cut(components(first))
-    of = shared.join(part.select(F.col("id").alias("rep"), F.col("component")), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    open_ = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = of.join(open_, "key")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    more = x.join(y, "key").filter("ca < cb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = cut(_unseen(more, stars))
-    second = cut(linked(pairs))
+    of = shared.select("key", "rep").distinct().join(part.select(F.col("id").alias("rep"), F.col("component")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = classes.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    open_ = of.join(sizes, "rep").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum("most").alias("shingles")).filter("lo < hi")
+    rest = cut(of.join(open_.select("key", "members", "shingles"), "key").join(sizes, "rep"))
+    short = rest.filter(F.col("members") <= SHORT_LIST)
+    x = short.select("key", F.col("rep").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    y = short.select("key", F.col("rep").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    more = x.join(y, "key").filter("ca < cb").filter((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent))
+    second = cut(linked(cut(_unseen(more, stars))))
+    pieces = F.ceil(F.col("shingles") / F.lit(TILE_SHINGLES)).cast("int")
+    chunk = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: (k != F.col("chunk")) | (F.col("pieces") == 1))
+    long_ = rest.filter(F.col("members") > SHORT_LIST).select("key", "rep", "component", pieces.alias("pieces")).withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    long_ = cut(long_.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "component"))
+    tiles = long_.join(sets_of(long_.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "elements"), "rep")
+    second = second.unionByName(cut(tiles.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()))
     ends = components(first.unionByName(second))
-    named = classes.drop("keys").join(ends, F.col("rep") == F.col("id"), "left").select("n_shingles", "low", "high", F.coalesce("component", "rep").alias("component_id"), "class_size")
-    rows = seen.drop("keys").join(named, ["n_shingles", "low", "high"], "left")
+    named = classes.join(ends, F.col("rep") == F.col("id"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "class_size")
+    rows = seen.drop("keys").join(named, same, "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_size", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("class_size"))
 
 

@@ -53,3 +53,43 @@ def test_empty_table(spark):
 
 def test_boundary_lies_where_subsets_grow():
     assert 10 <= boundary_by_cost(90) <= 24
+
+
+def test_tiles_join_what_pairs_join():
+    import numpy as np
+
+    from graphloom.llm.jaccard_join import joining_links
+
+    r = np.random.default_rng(5)
+    for m, n, pool in ((2, 5, 6), (40, 12, 14), (60, 30, 34), (50, 40, 4000)):
+        sets = [np.unique(r.integers(0, pool, n).astype(np.uint64)) for _ in range(m)]
+        sets += [np.unique(np.append(x[1:], np.uint64(9999))) for x in sets[: m // 2]]
+        own = np.arange(len(sets)) // 2 * 2
+
+        def closed(pairs):
+            label = own.tolist()
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            return label
+
+        sets_ = [set(x.tolist()) for x in sets]
+        brute_pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets_[a] & sets_[b]) >= 90 * len(sets_[a] | sets_[b])]
+        assert closed(joining_links(own, sets, 90)) == closed(brute_pairs)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    from graphloom.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "TILE_SHINGLES", 3000)
+    r = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for d in range(90):
+            w = list(base)
+            for k in r.sample(range(120), r.choice([1, 2, 3, 4])):
+                w[k] = f"e{r.randrange(10**6)}"
+            rows.append((g * 100 + d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in module.jaccard_join(df).collect()), key=str) == brute(rows)
