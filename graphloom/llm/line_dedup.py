@@ -44,8 +44,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Null and empty texts, texts of fewer than three lines and rows with a null id stay as they are.
     Rows that repeat both id and text count as one row and stay equal; rows that share only the id are
-    told apart by their text. Other columns pass through, whatever their names (but for removed_lines,
-    which is replaced).
+    told apart by their text. Other columns pass through; removed_lines is replaced if there is one, and names
+    that begin with gl_ are reserved.
     """
     key = F.xxhash64(F.col(text))
     base = docs.filter(F.col(doc_id).isNotNull() & F.contains(F.col(text), F.lit("\n"))).select(F.col(doc_id).alias("id"), key.alias("tk"), F.col(text).alias("tx"))
