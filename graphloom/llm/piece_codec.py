@@ -30,7 +30,7 @@ from graphloom.llm import textkit
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments kept for look-up in each worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 200_000, 48
+KEPT, KEPT_CHARS = 300_000, 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -346,6 +346,18 @@ class Encoder:
         return self.decoded(ids).decode("utf-8", "replace")
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(codec: Codec) -> Encoder:
+    """The worker's encoder for this vocabulary: what it has looked up serves later tasks too."""
+    key = (codec.bpe, codec.dummy_prefix, hash((tuple(codec.pieces), tuple(codec.scores))))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(codec)
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip) of every row of docs (doc_id, text).
 
@@ -355,7 +367,7 @@ def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(codec)
+        encoder = _encoder(codec)
         for batch in batches:
             column = batch.column(1).fill_null("")
             for i, j, *_ in textkit.chunks(column):
@@ -375,7 +387,7 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, text) of every row of encoded (doc_id, ids); null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(codec)
+        encoder = _encoder(codec)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
