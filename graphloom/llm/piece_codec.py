@@ -227,9 +227,9 @@ class Stream:
 class _Cores(dict):
     """Packed ids of segments that no boundary cuts; what is not there is searched, and kept while there is room."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, kept: int):
         super().__init__()
-        self.codec = codec
+        self.codec, self.kept = codec, kept
 
     def __missing__(self, text: str) -> bytes:
         if self.codec.bpe and len(text) <= KEPT_CHARS:
@@ -238,7 +238,7 @@ class _Cores(dict):
             stream = Stream(self.codec)
             ids = stream.feed(text) + stream.finish()
         out = np.array(ids, np.int32).tobytes()
-        if len(self) < KEPT and len(text) <= KEPT_CHARS:
+        if len(self) < self.kept and len(text) <= KEPT_CHARS:
             self[text] = out
         return out
 
@@ -288,15 +288,15 @@ class _Segments(dict):
                 at = k
         parts.append(cores[text[at:]])
         out = b"".join(parts)
-        if len(self) < KEPT and len(segment) <= KEPT_CHARS:
+        if len(self) < self.cores.kept and len(segment) <= KEPT_CHARS:
             self[segment] = out
         return out
 
 
 class Encoder:
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, kept: int = KEPT):
         self.codec = codec
-        cores = _Cores(codec)
+        cores = _Cores(codec, kept)
         self.spaced, self.bare = _Segments(cores, SPACE), _Segments(cores, "")
         self.newline = np.array(codec.spelled("\n"), np.int32).tobytes()
         table = [p.replace(SPACE, " ").encode() for p in codec.pieces]
@@ -349,25 +349,25 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(codec: Codec) -> Encoder:
+def _encoder(codec: Codec, kept: int = KEPT) -> Encoder:
     """The worker's encoder for this vocabulary: what it has looked up serves later tasks too."""
-    key = (codec.bpe, codec.dummy_prefix, hash((tuple(codec.pieces), tuple(codec.scores))))
+    key = (kept, codec.bpe, codec.dummy_prefix, hash((tuple(codec.pieces), tuple(codec.scores))))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(codec)
+        _encoders[key] = Encoder(codec, kept)
     return _encoders[key]
 
 
-def encode(docs: DataFrame, codec: Codec) -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, kept: int = KEPT) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip) of every row of docs (doc_id, text).
 
     round_trip: the decoded ids are the text, with U+2581 as a space, which the model cannot tell apart.
     Null and empty texts have no ids. Null and repeated ids of documents stay as they are; other columns
-    are not read.
+    are not read. kept: how many segments a worker looks up again; more take memory and save time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(codec)
+        encoder = _encoder(codec, kept)
         for batch in batches:
             column = batch.column(1).fill_null("")
             for i, j, *_ in textkit.chunks(column):
