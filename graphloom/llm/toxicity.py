@@ -10,7 +10,10 @@ Fit, on labelled rows only (at most MOST_LABELLED of them, taken in hash order):
 3. Karlin-Altschul calibration: lambda solves sum p(s) exp(lambda s) = 1 over the scores of tokens of
    texts not marked toxic; K follows from their largest segments. A segment of score S in n tokens has
    p = 1 - exp(-K n exp(-lambda S)).
-4. A logistic curve maps the summed -ln p of a text's significant segments to a probability.
+4. A logistic curve maps the summed -ln p of a text's significant segments to a probability. It is fitted
+   in a second pass over the labelled texts, on the sums that scoring uses.
+
+Scores and segments are counted over whole texts.
 
 Scores use the text alone. Features are hashed to BUCKETS counters, so what goes to the driver and back
 has a fixed size whatever the corpus.
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
+from graphloom.llm.durable import cut
 
 MOST_LABELLED = 50_000
 BUCKETS = 1 << 20
@@ -119,20 +123,46 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(evidence))))
 
 
+_SEEN = "toxic int, tokens long, top double, value float, n long"
+
+
 def _scan(weights: np.ndarray):
-    """For labelled texts: toxic, tokens, tokens with a positive score, the scores of all segments."""
+    """For labelled texts: toxic, tokens and the score of the largest segment of each; and, in rows of their
+    own without tokens, how many tokens of clean texts have each positive score."""
     model = Model(weights)
+    levels = np.unique(weights[weights > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(levels), np.int64)
         for batch in batches:
-            out: list[tuple] = []
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            tokens, tops = [], []
             for i, j, w in _parsed(batch.column(0)):
                 score = model.token_scores(w)
                 for d in range(j - i):
                     own = score[w.first[d] : w.first[d + 1]]
                     at = np.flatnonzero(own)
-                    out.append((len(own), own[at].tolist(), sorted((s for _, _, s in segments(own[at], at, DRIFT)), reverse=True)[:32]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1][:200] for x in out], pa.list_(pa.float32())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["toxic", "tokens", "up", "best"])
+                    tokens.append(len(own))
+                    tops.append(max((s for _, _, s in segments(own[at], at, DRIFT)), default=0.0))
+                    if not toxic[i + d]:
+                        np.add.at(seen, np.searchsorted(levels, own[at]), 1)
+            n = len(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(tokens, pa.int64()), pa.array(tops, pa.float64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.int64())], ["toxic", "tokens", "top", "value", "n"])
+        used = np.flatnonzero(seen)
+        n = len(used)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(levels[used], pa.float32()), pa.array(seen[used], pa.int64())], ["toxic", "tokens", "top", "value", "n"])
+
+    return run
+
+
+def _evidence(model: Model):
+    """For labelled texts: toxic, and the evidence by which scoring judges them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = _apply(model)
+        for batch in batches:
+            found, _ = judged(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sum(-np.log(s["p_value"]) for s in x) for x in found], pa.float64())], ["toxic", "evidence"])
 
     return run
 
@@ -175,17 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     if not good.any():
         good = odds / np.sqrt(1 / a + 1 / b) >= LEAST_Z / 2
     model.weights[used[good]] = odds[good]
-    rows = known.mapInArrow(_scan(model.weights), "toxic int, tokens long, up array<float>, best array<double>").toArrow()  # at most `most` short rows
-    toxic, tokens = rows.column("toxic").to_numpy(), np.maximum(rows.column("tokens").to_numpy(), 1)
-    best = rows.column("best").to_pylist()
+    seen = cut(known.mapInArrow(_scan(model.weights), _SEEN))
+    rows = seen.filter("tokens is not null").select("toxic", "tokens", "top").toArrow()  # at most `most` short rows
+    toxic, tokens, tops = rows.column("toxic").to_numpy(), np.maximum(rows.column("tokens").to_numpy(), 1), rows.column("top").to_numpy()
     clean = toxic == 0
-    up = np.array([s for s, t in zip(rows.column("up").to_pylist(), toxic, strict=True) if not t for s in s] + [float(model.weights.max())])
+    ups = seen.filter("n is not null").groupBy("value").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each weight
+    up, n = np.append(ups.column("value").to_numpy(), model.weights.max()), np.append(ups.column("n").to_numpy(), 1)
     total = tokens[clean].sum() + 1
-    value, share = np.append(up, -DRIFT), np.append(np.full(len(up), 1 / total), 1 - len(up) / total)
+    value, share = np.append(up.astype(float), -DRIFT), np.append(n / total, 1 - n.sum() / total)
     model.lam = _solve(value, share) if (value * share).sum() < 0 else 0.1
-    tops = np.array([x[0] if x else 0.0 for x in best])
     model.k = float((clean.sum() + 1) / ((tokens[clean] * np.exp(-model.lam * tops[clean])).sum() + 1))
-    x = np.log1p([sum(-np.log(p) for s in segs if (p := model.p_value(s, n)) <= SIGNIFICANT) for segs, n in zip(best, tokens.tolist(), strict=True)])
+    rows = known.mapInArrow(_evidence(model), "toxic int, evidence double").toArrow()  # at most `most` short rows
+    toxic, x = rows.column("toxic").to_numpy(), np.log1p(rows.column("evidence").to_numpy())
     bias, slope = np.log((toxic.sum() + 1) / (clean.sum() + 1)), 0.0
     for _ in range(50):  # Newton steps with a little ridge
         q = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))

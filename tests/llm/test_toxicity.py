@@ -3,6 +3,7 @@ from zlib import crc32
 
 from pyspark.sql import functions as F
 
+from graphloom.llm import toxicity as whole
 from graphloom.llm.toxicity import fit, held_out, segments, toxicity, without_toxic
 
 
@@ -64,3 +65,33 @@ def test_odd_rows(spark):
     out = toxicity(df, model).collect()
     assert len(out) == 6 and all(0 <= r.score < 0.5 and r.predicted == 0 for r in out)
     assert toxicity(df.limit(0), model).count() == 0 and without_toxic(df, model).count() == 6
+
+
+def test_fit_counts_whole_texts(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    plain = [f"w{i}q" for i in range(200)]
+    docs, labels = [], []
+    for d in range(300):
+        bad = d % 3 == 0
+        w = [r.choice(plain) for _ in range(4000 if d % 10 == 1 else 60)]
+        for i in range(len(w)):
+            if r.random() < (0.4 if bad else 0.08 if len(w) > 60 else 0.002):  # long clean texts have over 200 hot tokens
+                w[i] = r.choice(["idiotx", "stupidx"])
+        docs.append((d, " ".join(w)))
+        labels.append((d, int(bad)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    up, total, longest = [], 1, 0
+    for d, text in docs:
+        if not labels[d][1] and crc32(str(d).encode()) % 5:
+            score = model.token_scores(next(whole._parsed(pa.array([text])))[2])
+            up += score[score > 0].tolist()
+            total += len(score)
+            longest = max(longest, int((score > 0).sum()))
+    assert longest > 200
+    up.append(float(model.weights.max()))
+    value, share = np.append(up, -whole.DRIFT), np.append(np.full(len(up), 1 / total), 1 - len(up) / total)
+    assert (value * share).sum() < 0 and abs(model.lam - whole._solve(value, share)) < 1e-4, (model.lam, whole._solve(value, share))
