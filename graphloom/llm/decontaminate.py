@@ -10,6 +10,9 @@
 3. Verification: within the candidate's surroundings the item-long window with the largest weighted
    Jaccard similarity of five-word shingles (weight: count) is found; at 0.8 or more it is a hit.
 
+4. A text shorter than an item has no window of the item's length. Its shingles are counted against those
+   of every such item, and where enough are common, step 3 follows with the whole text as the window.
+
 The item set is read in blocks of ITEMS_A_PASS; each block goes to all executors and scans all texts.
 """
 
@@ -121,6 +124,11 @@ class Items:
             by.setdefault(window_size(size), []).append(k)
         self.groups = [(size, np.array(members[i : i + 32])) for size, members in sorted(by.items()) for i in range(0, len(members), 32)]
         self.sizes = sorted(by)
+        # shingles of all items in order, with their item
+        parts = [np.unique(x) for x in self.shingles]
+        flat, of = np.concatenate([np.empty(0, np.uint64), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.of = flat[order], of[order]
         self.stride = {s: 1 if s <= FINE else 2 for s in self.sizes}
 
     def tables(self, members: np.ndarray) -> np.ndarray:
@@ -143,6 +151,19 @@ class Items:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def shorter_texts(items: Items, grams: np.ndarray, words: int) -> list[int]:
+    """The items longer than a text of so many words and these shingles whose similarity to it is SIMILARITY
+    or more if each of its shingles that they have counts."""
+    if not len(grams) or words >= max(items.size):
+        return []
+    low, high = (np.searchsorted(items.flat, grams, side) for side in ("left", "right"))
+    n = high - low
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    both = np.bincount(items.of[at], minlength=len(items.size))  # no less than the weighted overlap
+    size = np.array(items.size)
+    return np.flatnonzero((size > words) & (both > 0) & (both * (1 + SIMILARITY) >= SIMILARITY * (size - SHINGLE + 1 + len(grams)) - 1e-9)).tolist()
+
+
 def best_window(region: np.ndarray, item: np.ndarray) -> tuple[float, int]:
     """The largest weighted Jaccard similarity of item and a run of region of its length, and where."""
     want, n = Counter(item.tolist()), len(item)
@@ -199,6 +220,10 @@ def _search(items: Items):
                     good = left[starts] >= size
                     for s, k in zip(starts[good].tolist(), who[good].tolist(), strict=True):
                         found.setdefault((int(owner[s]), k), []).append(s)
+                for d in np.flatnonzero(count < max(items.size)).tolist():
+                    first = int(place[d])
+                    for k in shorter_texts(items, grams[first : first + max(0, int(count[d]) - SHINGLE + 1)], int(count[d])):
+                        found.setdefault((d, k), []).append(first)
                 for (d, k), starts in found.items():
                     end = int(place[d] + count[d]) - SHINGLE + 1
                     n, low = len(items.shingles[k]), int(place[d])

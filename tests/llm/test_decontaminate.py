@@ -102,3 +102,20 @@ def test_planted_items_are_found(spark):
 
 def test_window_sizes_never_exceed_items():
     assert all(n * 0.9 <= window_size(n) <= n for n in range(1, 2000))
+
+
+def test_items_less_words_at_their_ends_are_found(spark):
+    r = random.Random(12)
+    say = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    bench = [(i, " ".join(say(n))) for i, n in enumerate([5, 6, 12, 15, 20, 24, 25, 26, 29, 30, 31, 47, 60, 61, 133, 134, 200, 401])]
+    docs = []
+    for i, q in bench:
+        w = q.split()
+        for cut in {1, 2, len(w) // 20, len(w) // 10, len(w) // 6, len(w) // 4}:
+            for part in (w[cut:], w[: len(w) - cut], w[cut // 2 : len(w) - (cut - cut // 2)]):
+                docs.append((len(docs), " ".join(part).upper()))
+    want = brute(docs, bench)
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in hits(df, items).collect()}
+    assert len(want) > 100 and got == want, (len(got), len(want), sorted(want - got)[:5])
+    assert {x.doc_id for x in without_leaks(df, items, 7).collect()} == {d for d, _ in docs} - {d for d, _ in want}
