@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.durable import cut
+from graphloom.llm.durable import cut, map_arrow
 
 ROLES = ("system", "user", "assistant")
 # Names that speaker markers use, by role.
@@ -160,7 +160,7 @@ def _grouped(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pa
         if kept:
             yield from pa.concat_tables(kept).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(over, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *order), over, schema)
 
 
 def parse(lines: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 1. Fingerprints: every window of a text as long as a benchmark item (within GRID of it, never longer)
-   gets the 64-bit SimHash of its FEATURE-word grams. All windows of a chunk are hashed at once with
-   bit-sliced counters: counts of 1, 2, 4, ... neighbours are added as bit planes of 64-bit words, so a
-   window costs tens of word operations and not 64 counters.
+   gets the 64-bit SimHash of its FEATURE-word grams; windows of more than FINE words start at every
+   second word. All windows of a chunk are hashed at once with bit-sliced counters: counts of 1, 2, 4,
+   ... neighbours are added as bit planes of 64-bit words, so a window costs tens of word operations and
+   not 64 counters.
 2. Multi-index Hamming search: a fingerprint within RADIUS = 15 of an item's has one of four 16-bit
    blocks within 3 bits of the item's block. A table for each block holds, for each of its 65,536
    values, the set of near items; the union of four look-ups holds every item within RADIUS.
@@ -29,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
+from graphloom.llm.durable import map_arrow
 
 SHINGLE, SIMILARITY, FEATURE, RADIUS = 5, 0.8, 3, 15
 ITEMS_A_PASS = 4096
+#: Bytes of look-up tables that a worker keeps; others are made again.
+KEPT_BYTES = 40 << 20
 #: Windows longer than this step in length by GRID, and start at every second word.
 FINE, GRID = 24, 0.03
 _STRIP = 8192
@@ -133,10 +137,11 @@ class Items:
 
     def tables(self, members: np.ndarray) -> np.ndarray:
         """For each 16-bit block and value, a bit for each member whose block lies within 3 bits of it."""
-        out = np.zeros((4, 1 << 16), np.uint32)
+        kind = np.uint8 if len(members) <= 8 else np.uint16 if len(members) <= 16 else np.uint32
+        out = np.zeros((4, 1 << 16), kind)
         for bit, k in enumerate(members):
             for block in range(4):
-                out[block, _NEAR ^ np.uint32(int(self.prints[k]) >> 16 * block & 0xFFFF)] |= np.uint32(1 << bit)
+                out[block, _NEAR ^ np.uint32(int(self.prints[k]) >> 16 * block & 0xFFFF)] |= kind(1 << bit)
         return out
 
     def within(self, prints: np.ndarray, members: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +150,7 @@ class Items:
         near = reduce(np.bitwise_or, (tables[block].take(views[:, block]) for block in range(4)))
         found = []
         for bit, k in enumerate(members):
-            at = np.flatnonzero(near & np.uint32(1 << bit))
+            at = np.flatnonzero(near & near.dtype.type(1 << bit))
             at = at[np.bitwise_count(prints[at] ^ self.prints[k]) <= RADIUS]
             found.append((at, np.full(len(at), k)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -183,6 +188,22 @@ def best_window(region: np.ndarray, item: np.ndarray) -> tuple[float, int]:
     return max(best, 0) / (n + size - max(best, 0)), where
 
 
+def passages(region: np.ndarray, item: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first, end, similarity) of windows of region of SIMILARITY or more, none overlapping: the best one, then
+    likewise on either side of it."""
+    out, open_ = [], [(0, len(region))]
+    while open_:
+        a, b = open_.pop()
+        if (b - a) * (1 + SIMILARITY) < SIMILARITY * (len(item) + b - a):
+            continue
+        similarity, where = best_window(region[a:b], item)
+        if similarity >= SIMILARITY:
+            first, end = a + where, a + where + min(len(item), b - a)
+            out.append((first, end, similarity))
+            open_ += [(a, first), (end, b)]
+    return sorted(out)
+
+
 def _search(items: Items):
     """(doc_id, item_id, first word, end word, similarity) of each hit in a batch of (doc_id, text)."""
 
@@ -211,7 +232,7 @@ def _search(items: Items):
                     tables = kept.get(g)
                     if tables is None:
                         tables = items.tables(members)
-                        if len(kept) < 96:
+                        if sum(t.nbytes for t in kept.values()) < KEPT_BYTES:
                             kept[g] = tables
                     step = items.stride[size]
                     own = np.ascontiguousarray(prints[size])
@@ -239,10 +260,7 @@ def _search(items: Items):
                         region = grams[a:b]
                         if np.isin(region, sets[k]).sum() * (1 + SIMILARITY) < SIMILARITY * n:
                             continue
-                        similarity, where = best_window(region, items.shingles[k])
-                        if similarity >= SIMILARITY:
-                            first = a - low + where
-                            rows.append((i + d, k, first, first + min(items.size[k], len(region) + SHINGLE - 1), similarity))
+                        rows += [(i + d, k, a - low + x, a - low + y + SHINGLE - 1, s) for x, y, s in passages(region, items.shingles[k])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.int32()) for c in (2, 3)], pa.array([r[4] for r in rows], pa.float64())], ["doc_id", "item_id", "first_word", "end_word", "similarity"])
 
     return run
@@ -269,7 +287,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS_A_PASS) -> Dat
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word int, end_word int, similarity double"
-    found = [base.mapInArrow(_search(items), schema) for items in _passes(benchmark, most)]
+    found = [map_arrow(base, _search(items), schema) for items in _passes(benchmark, most)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -291,5 +309,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS_A_PAS
         return run
 
     for items in _passes(benchmark, most):
-        docs = docs.mapInArrow(clean(items), docs.schema)
+        docs = map_arrow(docs, clean(items), docs.schema)
     return docs

@@ -1,18 +1,30 @@
-"""Lineage cuts that survive lost executors."""
+"""Lineage cuts that survive lost executors, and Arrow maps in small batches."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: The most bytes of rows that go to a Python worker at a time. Texts that are longer go alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder: spark.checkpoint.dir of the session, and only where that is unset
-    (tests on one machine) a temporary folder."""
+    """The shared checkpoint folder: spark.checkpoint.dir of the session. Where that is unset, a temporary
+    folder if driver and executors are one process; on a cluster that is an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -20,3 +32,35 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _bytes(size: str) -> int:
+    unit = size.strip().lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(unit[-1:], 0)
+    return int(unit.rstrip("kmg")) << scale
+
+
+def map_arrow(df: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES at most (the session's limit is lowered to that), whose
+    worker gives its memory back after each task."""
+    conf = df.sparkSession.conf
+    if not 0 < _bytes(conf.get(_BATCH)) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from over(batches)
+        finally:
+            settle()
+
+    return df.mapInArrow(run, schema)
+
+
+def settle() -> None:
+    """Returns what a worker no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
 from graphloom.llm.components import components
-from graphloom.llm.durable import cut
+from graphloom.llm.durable import cut, map_arrow
 
 WORDS, PERCENT = 3, 90
 #: A probe of a list costs about this many subset keys: lists hold more sets that turn out not to link.
@@ -46,6 +46,8 @@ PROBE = 4
 RANGE_BYTES, BROADCAST_IDS = 48 << 20, 2_000_000
 #: Lists up to this length give pairs; of longer ones, tiles hold about this many shingles.
 SHORT_LIST, TILE_SHINGLES = 32, 1_500_000
+#: Keys that are linked and packed at a time, and the most bytes of a tile's bit rows.
+LOT, GRID_BYTES = 1_000_000, 32 << 20
 _LINK = "key long, rep long, head long"
 
 
@@ -186,15 +188,28 @@ def _links(keys: np.ndarray, reps: np.ndarray, first: np.ndarray, size: np.ndarr
     return [_longs(keys[many]), pa.array(reps[many]), pa.array(np.repeat(reps[first], size)[many])]
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and their sets, of about LOT keys at a time."""
+    keys, reps, n = [], [], 0
+    for batch in batches:
+        lists = batch.column(1)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        keys.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        reps.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size))
+        n += len(reps[-1])
+        if n >= LOT:
+            yield np.concatenate(keys), np.concatenate(reps)
+            keys, reps, n = [], [], 0
+    if n:
+        yield np.concatenate(keys), np.concatenate(reps)
+
+
 def _pack(parts: int):
-    """Of each batch: a packed row for each range of keys, and the links within the batch."""
+    """Of each lot: a packed row for each range of keys, and the links within the lot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            keys, reps, first, size = _groups(keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size))
+        for keys, reps in _lots(batches):
+            keys, reps, first, size = _groups(keys, reps)
             k, r, h = _links(keys, reps, first, size)
             n = len(k)
             if n:
@@ -224,12 +239,12 @@ def joining_links(component: np.ndarray, sets: list[np.ndarray], percent: int) -
     number = np.cumsum(count > 1) - 1
     owner, element = np.repeat(np.arange(len(sets)), size)[shared], number[place[shared]]
     m, v = len(sets), int((count > 1).sum())
-    dense = m * m * (v // 64 + 1) < 2 * int((count.astype(np.int64) ** 2)[count > 1].sum()) + 1 and m * v <= 1 << 28
+    wide = v // 64 + 1
+    dense = m * m * wide < 2 * int((count.astype(np.int64) ** 2)[count > 1].sum()) + 1 and m * wide * 8 <= GRID_BYTES
     if dense:
-        grid = np.zeros((m, (v // 64 + 1) * 64), bool)
-        grid[owner, element] = True
-        rows = np.packbits(grid, axis=1).view(np.uint64)
-        del grid
+        rows = np.zeros(m * wide, np.uint64)
+        np.bitwise_or.at(rows, owner * wide + (element >> 6), np.uint64(1) << (element & 63).astype(np.uint64))
+        rows = rows.reshape(m, wide)
     else:
         by = np.argsort(element, kind="stable")
         lists, at = owner[by], np.concatenate(([0], np.cumsum(count[count > 1])))
@@ -268,14 +283,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows. A null doc_id gives a row with a null component and no links. Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = cut(base.mapInArrow(_profile(words, percent), "doc_id long, n_shingles long, low long, high long, keys array<long>"))
+    seen = cut(map_arrow(base, _profile(words, percent), "doc_id long, n_shingles long, low long, high long, keys array<long>"))
     real = seen.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "low", "high"]
     classes = cut(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 16 // 5 // RANGE_BYTES + 1)  # under a fifth of the shingles become postings
     own = real.filter(F.size("keys") > 0).join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"]).dropDuplicates([*same, "doc_id"])
-    packed = cut(own.select("doc_id", "keys").mapInArrow(_pack(parts), f"part int, packed binary, {_LINK}"))
+    packed = cut(map_arrow(own.select("doc_id", "keys"), _pack(parts), f"part int, packed binary, {_LINK}"))
     across = packed.filter("part is not null").select("part", "packed").groupBy("part").applyInArrow(_unpack, _LINK)
     shared = cut(packed.filter("part is null").select("key", "rep", "head").unionByName(across))
 
@@ -283,14 +298,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         """(doc_id, elements) of the documents of ids (doc_id)."""
         ids = cut(ids.distinct())
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, elements binary")
+        return map_arrow(base.join(ids, "doc_id", "left_semi"), _sets(words), "doc_id long, elements binary")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose sets link."""
         sets = sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
         x = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
+        return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verify(percent), "a long, b long").distinct()
 
     stars = cut(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
     # rows of one document in different classes join those classes

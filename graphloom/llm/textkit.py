@@ -119,7 +119,7 @@ def set_of(w: Words, i: int, k: int, grams: np.ndarray) -> np.ndarray:
         return np.unique(grams[a : b - k + 1])
     if b == a:
         return np.empty(0, np.uint64)
-    short = np.uint64(b - a)
+    short = np.array([b - a], np.uint64)
     for h in w.hashes[a:b]:
-        short = mix(np.array([short * np.uint64(0x9E3779B97F4A7C15) + h]))[0]
-    return np.array([short])
+        short = mix(short * np.uint64(0x9E3779B97F4A7C15) + h)
+    return short

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
+from graphloom.llm.durable import map_arrow
 
 # Fixed values of the format: tags, field types with their sizes, and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -222,7 +223,7 @@ class Reader:
         scheme, predictor, bits = one(COMPRESSION, RAW), one(PREDICTOR, 1), one(BITS, 1)
         if bits not in (8, 16) or len(set(f.get(BITS, (bits,)))) > 1:
             raise Bad(f"{bits} bits in a sample are not supported")
-        if not (0 < width * height * samples <= MOST_PIXELS):
+        if min(width, height, samples) < 1 or width * height * samples > MOST_PIXELS:
             raise Bad("no size, or too large a one")
         if predictor not in (1, 2):
             raise Bad(f"predictor {predictor} is not supported")
@@ -231,8 +232,10 @@ class Reader:
             across, down, offsets, counts = one(TILE_WIDTH, width), one(TILE_HEIGHT, height), f.get(TILES, f.get(STRIPS, ())), f.get(TILE_BYTES, f.get(STRIP_BYTES, ()))
         else:
             across, down, offsets, counts = width, min(one(ROWS, height), height), f.get(STRIPS, ()), f.get(STRIP_BYTES, ())
-        if not across or not down or across * down > MOST_PIXELS:
+        if min(across, down) < 1 or across * down > MOST_PIXELS:
             raise Bad("strips or tiles have no size")
+        if min((*offsets, *counts, 0)) < 0:
+            raise Bad("strips or tiles lie before the file")
         columns, rows = -(-width // across), -(-height // down)
         planes, depth = (samples, 1) if planar == 2 else (1, samples)
         if len(offsets) < columns * rows * planes or len(counts) < len(offsets):
@@ -337,7 +340,7 @@ def read_pages(media: DataFrame) -> DataFrame:
                     rows.append((doc, 0, *[None] * 8, str(e)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, schema)
+    return map_arrow(media.select(F.col("doc_id").cast("long").alias("doc_id"), "media"), run, schema)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -349,7 +352,7 @@ def store(docs: DataFrame) -> DataFrame:
                 files = [from_text(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -386,4 +389,4 @@ def features(stored: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")
+    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")

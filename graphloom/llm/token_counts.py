@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
+from graphloom.llm.durable import map_arrow
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary cuts texts before merging.
@@ -110,4 +111,4 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, rule: str = "start", f
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(flat[0])), *[pa.array(x.astype(np.int32)) for x in flat[1:]]], names)
 
     schema = "doc_id long, section int, first_char int, end_char int, n_tokens int, n_crossing int"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(f"field{k}") for k, c in enumerate(columns)]).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(f"field{k}") for k, c in enumerate(columns)]), run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
-from graphloom.llm.durable import cut
+from graphloom.llm.durable import cut, map_arrow
 
 MOST_LABELLED = 50_000
 BUCKETS = 1 << 20
@@ -123,7 +123,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(evidence))))
 
 
-_SEEN = "toxic int, tokens long, top double, value float, n long"
+_SEEN = "doc_id long, toxic int, tokens long, top double, value float, n long"
 
 
 def _scan(weights: np.ndarray):
@@ -131,6 +131,7 @@ def _scan(weights: np.ndarray):
     own without tokens, how many tokens of clean texts have each positive score."""
     model = Model(weights)
     levels = np.unique(weights[weights > 0])
+    names = [x.split()[0] for x in _SEEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(levels), np.int64)
@@ -147,10 +148,10 @@ def _scan(weights: np.ndarray):
                     if not toxic[i + d]:
                         np.add.at(seen, np.searchsorted(levels, own[at]), 1)
             n = len(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(tokens, pa.int64()), pa.array(tops, pa.float64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.int64())], ["toxic", "tokens", "top", "value", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(tokens, pa.int64()), pa.array(tops, pa.float64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.int64())], names)
         used = np.flatnonzero(seen)
         n = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(levels[used], pa.float32()), pa.array(seen[used], pa.int64())], ["toxic", "tokens", "top", "value", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(levels[used], pa.float32()), pa.array(seen[used], pa.int64())], names)
 
     return run
 
@@ -162,7 +163,7 @@ def _evidence(model: Model):
         judged = _apply(model)
         for batch in batches:
             found, _ = judged(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sum(-np.log(s["p_value"]) for s in x) for x in found], pa.float64())], ["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([sum(-np.log(s["p_value"]) for s in x) for x in found], pa.float64())], ["doc_id", "toxic", "evidence"])
 
     return run
 
@@ -182,14 +183,15 @@ def _solve(value: np.ndarray, share: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """The model from the labelled rows of docs whose crc32(doc_id as text) mod 5 is not 0.
 
-    Labels other than 0 and 1 and null ids are left out. Without texts of both kinds nothing can be
+    Labels other than 0 and 1 and null ids are left out. Rows that repeat an id all count for the weights
+    and are one text, of their tokens together and their largest evidence, for the calibration. Without texts of both kinds nothing can be
     learned and every text gets the same low score.
     """
     ids = labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "doc_id")
     seen = np.zeros((2, BUCKETS))
-    sums = known.mapInArrow(_counts, "toxic int, part int, counts binary").groupBy("toxic", "part").applyInArrow(_summed, "toxic int, part int, counts binary")
+    sums = map_arrow(known, _counts, "toxic int, part int, counts binary").groupBy("toxic", "part").applyInArrow(_summed, "toxic int, part int, counts binary")
     for r in sums.collect():  # 128 rows at most
         seen[r.toxic, r.part * _SLICE : (r.part + 1) * _SLICE] = np.frombuffer(r.counts, np.int64)
     model = Model()
@@ -205,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     if not good.any():
         good = odds / np.sqrt(1 / a + 1 / b) >= LEAST_Z / 2
     model.weights[used[good]] = odds[good]
-    seen = cut(known.mapInArrow(_scan(model.weights), _SEEN))
-    rows = seen.filter("tokens is not null").select("toxic", "tokens", "top").toArrow()  # at most `most` short rows
+    seen = cut(map_arrow(known, _scan(model.weights), _SEEN))
+    each = seen.filter("tokens is not null").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.sum("tokens").alias("tokens"), F.max("top").alias("top"))
+    rows = each.orderBy("doc_id").toArrow()  # at most `most` short rows
     toxic, tokens, tops = rows.column("toxic").to_numpy(), np.maximum(rows.column("tokens").to_numpy(), 1), rows.column("top").to_numpy()
     clean = toxic == 0
     ups = seen.filter("n is not null").groupBy("value").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each weight
@@ -215,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     value, share = np.append(up.astype(float), -DRIFT), np.append(n / total, 1 - n.sum() / total)
     model.lam = _solve(value, share) if (value * share).sum() < 0 else 0.1
     model.k = float((clean.sum() + 1) / ((tokens[clean] * np.exp(-model.lam * tops[clean])).sum() + 1))
-    rows = known.mapInArrow(_evidence(model), "toxic int, evidence double").toArrow()  # at most `most` short rows
+    each = map_arrow(known, _evidence(model), "doc_id long, toxic int, evidence double").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("evidence").alias("evidence"))
+    rows = each.orderBy("doc_id").toArrow()  # at most `most` short rows
     toxic, x = rows.column("toxic").to_numpy(), np.log1p(rows.column("evidence").to_numpy())
     bias, slope = np.log((toxic.sum() + 1) / (clean.sum() + 1)), 0.0
     for _ in range(50):  # Newton steps with a little ridge
@@ -267,7 +271,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             found, score = judged(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, _TYPE)], ["doc_id", "score", "predicted", "segments"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, score double, predicted int, segments array<{SEGMENT}>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, score double, predicted int, segments array<{SEGMENT}>")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -279,7 +283,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(judged(batch.column(place))[1] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -119,3 +119,14 @@ def test_items_less_words_at_their_ends_are_found(spark):
     got = {(x.doc_id, x.item_id) for x in hits(df, items).collect()}
     assert len(want) > 100 and got == want, (len(got), len(want), sorted(want - got)[:5])
     assert {x.doc_id for x in without_leaks(df, items, 7).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_each_planting_of_an_item_has_its_row(spark):
+    r = random.Random(14)
+    say = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    item = say(30)
+    near = [item[0], "zz", *item[2:]]
+    docs = [(1, item + item), (2, say(9) + item + near + item + say(9)), (3, item + say(20) + item), (4, item[:20] + item[:20])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    found = hits(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).orderBy("doc_id", "first_word").collect()
+    assert [(x.doc_id, x.first_word, x.end_word) for x in found] == [(1, 0, 30), (1, 30, 60), (2, 9, 39), (2, 39, 69), (2, 69, 99), (3, 0, 30), (3, 50, 80)]

@@ -47,6 +47,13 @@ def test_equals_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_five_words_and_four_fifths_equal_brute_force(spark):
+    for seed in (4, 5):
+        rows = corpus(seed, 220) + [(900, None), (901, ""), (902, " a b "), (903, "A b"), (904, "a b c d e"), (905, "a b c d e")]
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5, 80).collect()), key=str)
+        assert got == brute(rows, 5, 80)
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

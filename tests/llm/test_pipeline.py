@@ -22,7 +22,7 @@ def test_stages_equal_brute_force(spark):
     assert two.columns == cols and {r.doc_id: r.text for r in two.collect()} == want
     assert all(r.n_chars == len(r.text) for r in two.collect())
     three = stages[2](spark, two, SF)
-    want = {d: want[d] for d, _, c in test_jaccard_join.brute(list(want.items())) if d == c}
+    want = {d: want[d] for d, _, c in test_jaccard_join.brute(list(want.items()), 5, 80) if d == c}
     assert three.columns == cols and {r.doc_id: r.text for r in three.collect()} == want
     four = stages[3](spark, three, SF)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

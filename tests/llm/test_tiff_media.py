@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -87,3 +88,30 @@ def test_texts_come_back(spark):
     assert T.features(T.store(df.limit(0))).count() == 0
     pages = T.read_pages(T.store(df).filter("doc_id = 6")).orderBy("page").collect()
     assert b"".join(bytes(p.pixels) for p in pages)[:300000] == texts[6].encode()
+
+
+def test_negative_fields_are_errors():
+    r = np.random.default_rng(6)
+    pixels = r.integers(0, 256, (40, 30), dtype=np.uint8)
+    for tile in (None, (16, 16)):
+        good = T.write([pixels], tile=tile)
+        n = struct.unpack_from("<H", good, (at := struct.unpack_from("<I", good, 4)[0]))[0]
+        for k in range(n):
+            place = at + 2 + 12 * k
+            for kind in (1, 3, 4, 6, 8, 9):
+                for value in (-1, -(2**31), 0, 2**31 - 1):
+                    bad = bytearray(good)
+                    struct.pack_into("<H", bad, place + 2, kind)
+                    struct.pack_into("<i", bad, place + 8, value)
+                    try:
+                        for p in T.Reader(bytes(bad)).pages():
+                            assert p.error or p.pixels is not None
+                    except T.Bad:
+                        pass
+    both = bytearray(T.write([pixels]))
+    at = struct.unpack_from("<I", both, 4)[0]
+    for k in range(struct.unpack_from("<H", both, at)[0]):
+        if struct.unpack_from("<H", both, at + 2 + 12 * k)[0] in (T.WIDTH, T.HEIGHT):
+            struct.pack_into("<H", both, at + 4 + 12 * k, 9)
+            struct.pack_into("<i", both, at + 10 + 12 * k, -3)
+    assert [p.error for p in T.Reader(bytes(both)).pages()] == ["no size, or too large a one"]
