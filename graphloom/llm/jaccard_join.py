@@ -16,7 +16,8 @@ Postings travel packed, by ranges of keys. Before that each batch links its own
 sends only the smallest of them on, so a list that a third of all sets are in is short where it is read.
 
 Sets still apart in a list of more than SHORT_LIST are compared in tiles of bounded size, which give only
-the links that join two components: their number grows with the list and not with its square.
+the links that join two components: their number grows with the list and not with its square. Such lists
+with the same smallest set share their tiles.
 
 The boundary is where the count of subsets first exceeds the cost of the lists. Lists first link
 every member to the smallest one; only what is still in different components of one list is compared
@@ -205,30 +206,35 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _pack(parts: int):
-    """Of each lot: a packed row for each range of keys, and the links within the lot."""
+    """Of each lot: a packed row for each range of keys, and one, of a part behind them, of the lot's own links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, reps in _lots(batches):
             keys, reps, first, size = _groups(keys, reps)
-            k, r, h = _links(keys, reps, first, size)
-            n = len(k)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), k, r, h], ["part", "packed", "key", "rep", "head"])
+            own = _links(keys, reps, first, size)
             keys, reps = keys[first], reps[first]
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             at = np.concatenate((np.searchsorted(part, np.arange(parts)), [len(part)]))
             rows = [(p, np.concatenate((keys[a:b], reps[a:b].view(np.uint64))).tobytes()) for p, a, b in zip(range(parts), at[:-1], at[1:], strict=True) if a < b]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), *[pa.nulls(n, pa.int64())] * 3], ["part", "packed", "key", "rep", "head"])
+            if len(own[0]):
+                rows.append((parts + int(reps[0]) % parts, b"".join(x.to_numpy().tobytes() for x in own)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "packed"])
 
     return run
 
 
-def _unpack(table: pa.Table) -> pa.Table:
-    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed")]
-    keys = np.concatenate([x[: len(x) // 2] for x in rows])
-    reps = np.concatenate([x[len(x) // 2 :] for x in rows]).view(np.int64)
-    return pa.table(_links(*_groups(keys, reps)), names=["key", "rep", "head"])
+def _unpack(parts: int):
+    """The links of a range of keys; or, of a part behind the ranges, those that lots have made."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed")]
+        if table.column("part")[0].as_py() >= parts:
+            return pa.table([_longs(np.concatenate([x.reshape(3, -1)[k] for x in rows])) for k in range(3)], names=["key", "rep", "head"])
+        keys = np.concatenate([x[: len(x) // 2] for x in rows])
+        reps = np.concatenate([x[len(x) // 2 :] for x in rows]).view(np.int64)
+        return pa.table(_links(*_groups(keys, reps)), names=["key", "rep", "head"])
+
+    return run
 
 
 def joining_links(component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -290,9 +296,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 16 // 5 // RANGE_BYTES + 1)  # under a fifth of the shingles become postings
     own = real.filter(F.size("keys") > 0).join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"]).dropDuplicates([*same, "doc_id"])
-    packed = cut(map_arrow(own.select("doc_id", "keys"), _pack(parts), f"part int, packed binary, {_LINK}"))
-    across = packed.filter("part is not null").select("part", "packed").groupBy("part").applyInArrow(_unpack, _LINK)
-    shared = cut(packed.filter("part is null").select("key", "rep", "head").unionByName(across))
+    packed = map_arrow(own.select("doc_id", "keys"), _pack(parts), "part int, packed binary")
+    shared = cut(packed.groupBy("part").applyInArrow(_unpack(parts), _LINK))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(doc_id, elements) of the documents of ids (doc_id)."""
@@ -323,13 +328,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     y = short.select("key", F.col("rep").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
     more = x.join(y, "key").filter("ca < cb").filter((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent))
     second = cut(linked(cut(_unseen(more, stars))))
+    # lists of the same smallest set mostly hold the same sets: these are compared together and sent once
+    big = rest.filter(F.col("members") > SHORT_LIST)
+    bundle = cut(big.join(big.groupBy("key").agg(F.min("rep").alias("head")), "key").select("head", "rep", "component", "most").distinct())
+    bundle = bundle.join(bundle.groupBy("head").agg(F.sum("most").alias("shingles")), "head")
     pieces = F.ceil(F.col("shingles") / F.lit(TILE_SHINGLES)).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: (k != F.col("chunk")) | (F.col("pieces") == 1))
-    long_ = rest.filter(F.col("members") > SHORT_LIST).select("key", "rep", "component", pieces.alias("pieces")).withColumn("chunk", chunk).withColumn("other", F.explode(others))
-    long_ = cut(long_.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "component"))
+    long_ = bundle.select("head", "rep", "component", pieces.alias("pieces")).withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    long_ = cut(long_.select("head", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "component"))
     tiles = long_.join(sets_of(long_.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "elements"), "rep")
-    second = second.unionByName(cut(tiles.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()))
+    second = second.unionByName(cut(tiles.groupBy("head", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()))
     ends = components(first.unionByName(second))
     named = classes.join(ends, F.col("rep") == F.col("id"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "class_size")
     rows = seen.drop("keys").join(named, same, "left")
