@@ -118,7 +118,7 @@ def sinks(g: Graph) -> DataFrame:
     return ends.unionByName(clients.select("id", F.concat(F.lit("unmatched "), "t").alias("sink")))
 
 
-def leads_somewhere(g: Graph, rounds: int = 64) -> DataFrame:
+def leads_somewhere(g: Graph, rounds: int = 10_000) -> DataFrame:
     """(id) from which calls reach a sink or a flow starts: reverse reachability, frontier by frontier."""
     calls = cut(hops(g).filter("kind = 'calls'").select("src", "dst").distinct())
     found = cut(sinks(g).select("id").unionByName(g.edges.filter("kind = 'flow'").select(F.col("src").alias("id"))).distinct())
@@ -126,12 +126,12 @@ def leads_somewhere(g: Graph, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         front = cut(calls.join(front.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(found, "id", "left_anti"))
         if front.isEmpty():
-            break
+            return found
         found = cut(found.unionByName(front))
-    return found
+    raise RuntimeError(f"not done after {rounds} rounds; allow more")
 
 
-def path_between(edges: DataFrame, start: int, end: int, rounds: int = 64) -> DataFrame:
+def path_between(edges: DataFrame, start: int, end: int, rounds: int = 10_000) -> DataFrame:
     """(pos, id) of a shortest path over edges of any direction but contains; of equal ones, each step back
     takes the smallest id. No rows if there is none."""
     e = edges.filter("kind <> 'contains'")
@@ -143,8 +143,10 @@ def path_between(edges: DataFrame, start: int, end: int, rounds: int = 64) -> Da
         n += 1
         nxt = both.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("before"))
         front = cut(nxt.join(seen, "id", "left_anti").select("id", F.lit(n).cast("long").alias("pos"), "before"))
-        if n > rounds or front.isEmpty():
+        if front.isEmpty():
             return spark.createDataFrame([], "pos long, id long")
+        if n >= rounds:
+            raise RuntimeError(f"no path of {rounds} steps; allow more")
         seen = cut(seen.unionByName(front))
     out, at = [], end
     for k in range(n, -1, -1):  # one lookup a step
@@ -153,7 +155,7 @@ def path_between(edges: DataFrame, start: int, end: int, rounds: int = 64) -> Da
     return spark.createDataFrame(out, "pos long, id long")
 
 
-def cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def cycles(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(component, size) of strongly connected components of more than one node; component is the least id.
 
     Colouring: nodes without a way in or out go; each node takes the least id that reaches it; within a
@@ -189,6 +191,8 @@ def cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
         parts = found.groupBy(F.col("color").alias("component")).agg(F.count("*").alias("size")).filter("size > 1")
         done = parts if done is None else done.unionByName(parts)
         e = cut(e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    else:
+        raise RuntimeError(f"not done after {rounds} rounds; allow more")
     return cut(done) if done is not None else edges.sparkSession.createDataFrame([], "component long, size long")
 
 

@@ -11,6 +11,7 @@ from graphloom.functions import rules
 from graphloom.functions import text as T
 from graphloom.operators import atlas as A
 from graphloom.operators import graph as G
+from graphloom.operators import lookup as L
 from graphloom.plans import oracle
 from graphloom.plans.routes import matched
 from graphloom.sources.projection import event_chain, graph, read
@@ -168,9 +169,67 @@ def _traces_order(g) -> DataFrame:
     return _traces_summary(g).orderBy(F.desc("hops"), F.desc("steps"), "entry").limit(20)
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    customer, orders = read(spark, d, "customer"), read(spark, d, "orders").filter("o_orderkey % 50 = 1")
+    asked = [customer.filter("c_custkey % 20 = 0").select(F.col("c_name").alias("query")), customer.select(F.right("c_name", F.lit(2)).alias("query")), read(spark, d, "nation").select(F.col("n_name").alias("query"))]
+    asked += [orders.select(f(F.col("o_orderkey").cast("string")).alias("query")) for f in (lambda k: F.concat(F.lit("o"), k), lambda k: F.concat(F.lit("#"), k), lambda k: k)]
+    wanted = asked[0]
+    for a in asked[1:]:
+        wanted = wanted.unionByName(a)
+    return L.resolve(graph(spark, d).nodes, wanted)
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.array_compact(F.array(F.lit("queue"), F.when(F.col("event_type") == "signup", "queue-producer"), F.concat(F.lit("topic:"), F.col("user_id").cast("string"))))
+    return L.queue_flows(read(spark, d, "events").select(F.col("event_id").alias("id"), tags.alias("tags")))
+
+
+def _technology(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("event_type") == "view", "http /v").when(F.col("event_type") == "click", "ipc c").when(F.col("event_type") == "purchase", "queue p").when(F.col("event_type") == "error", "imports")
+    return L.technology(read(spark, d, "events").select((F.col("user_id") % 400).alias("src"), (F.col("event_id") % 5).alias("dst"), label.alias("label"), F.col("event_id").alias("ord")))
+
+
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    calls = g.edges.filter("kind = 'calls'")
+    exact = calls.filter("label = 'R' and weight > 1").groupBy("src", "dst").agg(F.lit("own").alias("label"))
+    at = g.nodes.select(F.col("id").alias("node"), F.col("parent").alias("container"))
+    pairs = calls.filter("src % 7 = 0").join(at.select(F.col("node").alias("src"), F.col("container").alias("a")), "src").join(at.select(F.col("node").alias("dst"), F.col("container").alias("b")), "dst")
+    return L.with_fallback(calls.select("src", "dst").distinct(), exact.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("container").alias("label")).distinct()), at)
+
+
+def _keys(pages: DataFrame) -> DataFrame:
+    n = F.col("page_id")
+    text = F.when(n % 5 == 0, F.concat(F.lit(" GET  "), "url")).when(n % 5 == 1, F.concat(F.lit("/p/"), n.cast("string"))).when(n % 5 == 2, F.concat(F.lit("Queue q"), n.cast("string"))).when(n % 5 == 3, F.concat(F.lit("word"), n.cast("string"))).otherwise(F.col("url"))
+    return pages.select("page_id", F.array_join(L.endpoint_keys(text), "|").alias("keys"))
+
+
+def _requests(parts: DataFrame) -> DataFrame:
+    n, name = F.col("p_partkey"), F.col("p_name")
+    text = F.when(n % 4 == 0, F.concat(name, F.lit(" @ a#"), n.cast("string"), F.lit(" :: see @ x :: y"))).when(n % 4 == 1, F.concat(F.lit("f#"), n.cast("string"), F.lit(" :: note "))).when(n % 4 == 2, F.concat(name, F.lit(" @ b"))).otherwise(name)
+    return parts.select("p_partkey", L.flow_request(text).alias("r")).select("p_partkey", "r.name", "r.entry", "r.note")
+
+
+def _entry_kinds(g) -> DataFrame:
+    lang = F.when(F.col("kind") == "symbol", "typescript")
+    name = F.when(F.col("id") % 10 == 3, "main").when(F.col("id") % 10 == 4, F.concat(F.lit("api.onOpen"), F.col("name"))).otherwise(F.col("name"))
+    return g.nodes.select("id", L.entry_kind(F.col("kind"), name, F.col("path"), lang, F.col("tags")).alias("entry_kind")).filter("entry_kind is not null")
+
+
 def queries() -> dict[str, Query]:
     c = F.col
     return {
+        "nodes_resolved": _resolved,
+        "queue_flows": _topics,
+        "evidence_technology": _technology,
+        "relationship_fallback": _fallback,
+        "endpoint_keys": _on("pages", _keys),
+        "flow_requests": _on("part", _requests),
+        "entry_kinds": _over(_entry_kinds),
+        "children_counts": _over(lambda g: L.children(g.nodes)),
+        "run_totals": _on("events", lambda e: L.run_totals(e.select((c("event_type") != "error").alias("ok"), c("value").alias("cost")))),
+        "names_distinct": _on("supplier", lambda s: L.distinct_names(s.select("s_suppkey", "s_nationkey", F.concat(F.lit("n"), (c("s_suppkey") % 3).cast("string")).alias("name")), "s_nationkey", "name", "s_suppkey").select("s_suppkey", "unique_name")),
+        "names_shortened": _on("part", lambda p: p.select("p_partkey", L.shorten(c("p_name"), 12).alias("short"))),
         "view_labels_capped": _capped,
         "tag_classify_calls": _classified,
         "traces_order": _over(_traces_order),

@@ -59,7 +59,7 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY journey ORDER BY ord) AS island FR
 
 
 def oracles() -> dict[str, str]:
-    out = {
+    out = LOOKUPS | {
         "view_package": f"{BASE}, {lifted(PACKAGE)} {VIEW}",
         "view_file": f"{BASE}, {lifted(FILE)} {VIEW}",
         "view_symbol": f"{BASE}, {lifted(SYMBOL)} {VIEW}",
@@ -173,3 +173,31 @@ def classified() -> str:
 SELECT callee, lang, coalesce(first, '') AS first, class, CASE WHEN class = 'none' THEN '' ELSE array_to_string(list_filter([class, CASE
   WHEN class = 'ipc-client' THEN 'ipc:' || first WHEN class IN ('http-server', 'http-client') THEN 'route:' || ({route}) WHEN class = 'env' AND regexp_matches(first, '^[A-Z0-9_]+$') THEN 'env:' || first
   WHEN class = 'queue' THEN 'topic:' || first END], lambda x: x IS NOT NULL), '|') END AS tags FROM k"""
+
+
+LOOKUPS = {
+    "nodes_resolved": BASE + r""", q AS (SELECT c_name AS query FROM customer WHERE c_custkey % 20 = 0 UNION SELECT right(c_name, 2) FROM customer UNION SELECT n_name FROM nation
+  UNION SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT '#' || o_orderkey FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 50 = 1),
+hit AS (SELECT query, id, 0 AS rule FROM q JOIN nodes ON id = TRY_CAST(query AS BIGINT) WHERE regexp_full_match(query, '[0-9]+')
+  UNION ALL SELECT query, min(id), 1 FROM q JOIN nodes ON path = query WHERE NOT regexp_full_match(query, '[0-9]+') GROUP BY query
+  UNION ALL SELECT query, id, 2 FROM q JOIN nodes ON ends_with(path, query) WHERE NOT regexp_full_match(query, '[0-9]+')
+  UNION ALL SELECT query, id, 3 FROM q JOIN nodes ON name = query WHERE NOT regexp_full_match(query, '[0-9]+')),
+n AS (SELECT query, rule, count(*) AS n, min(id) AS id FROM hit GROUP BY 1, 2), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query ORDER BY rule) = 1)
+SELECT q.query, CASE WHEN n = 1 THEN id END AS id, coalesce(n, 0)::BIGINT AS matches FROM q LEFT JOIN b ON q.query = b.query""",
+    "queue_flows": """SELECT a.event_id AS src, b.event_id AS dst, 'queue ' || a.user_id AS label FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'signup' AND b.event_type <> 'signup'""",
+    "evidence_technology": """WITH e AS (SELECT user_id % 400 AS src, event_id % 5 AS dst, CASE event_type WHEN 'view' THEN 'HTTP' WHEN 'click' THEN 'IPC' WHEN 'purchase' THEN 'queue' END AS k, min(event_id) AS first_at FROM events GROUP BY 1, 2, 3)
+SELECT src, dst, coalesce(string_agg(k, ', ' ORDER BY first_at) FILTER (WHERE k IS NOT NULL), '') AS technology FROM e GROUP BY src, dst""",
+    "relationship_fallback": BASE + """, c AS (SELECT * FROM edges WHERE kind = 'calls'), own AS (SELECT DISTINCT src, dst FROM c WHERE label = 'R' AND weight > 1),
+up AS (SELECT DISTINCT a.parent AS src, b.parent AS dst FROM c JOIN nodes a ON c.src = a.id JOIN nodes b ON c.dst = b.id WHERE c.src % 7 = 0)
+SELECT m.src, m.dst, CASE WHEN own.src IS NOT NULL THEN 'own' WHEN up.src IS NOT NULL THEN 'container' END AS label FROM (SELECT DISTINCT src, dst FROM c) m
+JOIN nodes a ON m.src = a.id JOIN nodes b ON m.dst = b.id LEFT JOIN own ON own.src = m.src AND own.dst = m.dst LEFT JOIN up ON up.src = a.parent AND up.dst = b.parent""",
+    "endpoint_keys": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http ' || url WHEN 1 THEN 'http /p/' || page_id WHEN 2 THEN 'queue q' || page_id WHEN 3 THEN 'ipc word' || page_id || '|queue word' || page_id ELSE '' END AS keys FROM pages""",
+    "flow_requests": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN '' ELSE trim(p_name) END AS name, CASE p_partkey % 4 WHEN 0 THEN 'a#' || p_partkey WHEN 1 THEN 'f#' || p_partkey WHEN 2 THEN 'b' ELSE '' END AS entry,
+CASE p_partkey % 4 WHEN 0 THEN 'see @ x :: y' WHEN 1 THEN 'note' ELSE '' END AS note FROM part""",
+    "entry_kinds": BASE + """ SELECT id, CASE WHEN list_contains(tags, 'http-server') THEN 'route' WHEN id % 10 = 3 THEN 'main' ELSE 'ui action' END AS entry_kind FROM nodes
+WHERE list_contains(tags, 'http-server') OR id % 10 = 3 OR (id % 10 = 4 AND kind = 'symbol')""",
+    "children_counts": BASE + " SELECT parent AS id, count(*) AS children FROM nodes WHERE parent IS NOT NULL GROUP BY parent",
+    "run_totals": "SELECT count(*) AS agents, count(*) FILTER (WHERE event_type = 'error') AS failures, round(coalesce(sum(value), 0), 2) AS cost FROM events",
+    "names_distinct": """SELECT s_suppkey, name || CASE n WHEN 1 THEN '' ELSE ' ' || n END AS unique_name FROM (SELECT s_suppkey, 'n' || (s_suppkey % 3) AS name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier)""",
+    "names_shortened": "SELECT p_partkey, CASE WHEN length(trim(p_name)) <= 12 THEN trim(p_name) ELSE rtrim(trim(p_name)[1:11]) || '…' END AS short FROM part",
+}
