@@ -70,8 +70,6 @@ RULES = [
     ("unlicense", "Unlicense", (70,)),
 ]
 
-#: Most fragments that one sentence may be wrapped over.
-WRAP = 14
 _END = r"([.!?:])\s+"
 
 
@@ -85,6 +83,10 @@ def known() -> dict[str, int]:
     return {normal(s): i for i, s in SENTENCES.items()}
 
 
+#: Most fragments that a known sentence can be wrapped over: each has a word at least.
+WRAP = max(len(s.split()) for s in known())
+
+
 def starts() -> list[str]:
     """The first two words of known sentences."""
     return sorted({" ".join(k.split()[:2]) for k in known()})

@@ -27,3 +27,9 @@ def test_rules_apply_to_wrapped_and_ordered_text(spark):
     assert got == sorted(want, key=str)
     assert license_scan(df.limit(0)).count() == 0
     assert len({r for r, _, _ in RULES}) == len(RULES)
+
+
+def test_sentences_of_one_word_a_line_are_found(spark):
+    mit = "\n".join(" ".join(SENTENCES[i] for i in (12, 13, 14, 15)).split())
+    df = spark.createDataFrame([(1, mit), (2, "x\n" * 300 + mit + "\nend"), (3, mit.replace("permission", "permit", 1).replace("Permission", "Permit"))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.rule, r.n_matches) for r in license_scan(df).collect()) == [(1, "mit-text", 1), (2, "mit-text", 1)]
