@@ -35,6 +35,31 @@ def distinct_names(named: DataFrame, scope: str, name: str, order: str) -> DataF
     return named.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" "), n.cast("string"))))
 
 
+def dodge(named: DataFrame, scope: str, name: str, order: str, sep: str = " ") -> DataFrame:
+    """named with a column unique_name: by order, each name of a scope that is taken gets the first free of 2, 3, ... behind
+    sep, also where another is called so. order is unique in a scope. Names that cannot meet, for they differ
+    before their numbers, are told apart first; only those that can are walked."""
+    root = F.regexp_replace(name, f"({sep}[0-9]+)+\\z", "")
+    keys = named.select(F.col(scope).alias("s_"), F.col(name).alias("t_"), F.col(order).alias("o_"), root.alias("r_")).distinct()
+    many = keys.groupBy("s_", "r_").agg(F.count("*").alias("n_")).filter("n_ > 1").select("s_", "r_")
+
+    def walk(pdf):
+        used, out = set(), []
+        pdf = pdf.sort_values("o_")
+        for t in pdf["t_"]:
+            got, k = t, 2
+            while got in used:
+                got, k = f"{t}{sep}{k}", k + 1
+            used.add(got)
+            out.append(got)
+        return pdf[["s_", "t_", "o_"]].assign(u_=out)
+
+    kind = {x: keys.schema[x].dataType.simpleString() for x in ("s_", "t_", "o_")}
+    told = keys.join(many, ["s_", "r_"], "left_semi").groupBy("s_", "r_").applyInPandas(walk, ", ".join(f"{k} {v}" for k, v in kind.items()) + ", u_ string")
+    out = named.join(told, (F.col(scope) == F.col("s_")) & (F.col(name) == F.col("t_")) & (F.col(order) == F.col("o_")), "left")
+    return out.withColumn("unique_name", F.coalesce("u_", name)).drop("s_", "t_", "o_", "u_")
+
+
 def queue_flows(nodes: DataFrame) -> DataFrame:
     """(src, dst, label): from each producer of a topic to each other node of it that produces none. nodes:
     (id, tags) with queue, queue-producer and topic:<name>."""
