@@ -12,6 +12,7 @@ from graphloom.functions import text as T
 from graphloom.operators import atlas as A
 from graphloom.operators import graph as G
 from graphloom.operators import lookup as L
+from graphloom.operators import model as M
 from graphloom.plans import oracle
 from graphloom.plans.routes import matched
 from graphloom.sources.projection import event_chain, graph, read
@@ -216,9 +217,62 @@ def _entry_kinds(g) -> DataFrame:
     return g.nodes.select("id", L.entry_kind(F.col("kind"), name, F.col("path"), lang, F.col("tags")).alias("entry_kind")).filter("entry_kind is not null")
 
 
+def _code(spark: SparkSession, d: str) -> M.Facts:
+    """The graph over the tables as code: files in three directories and three languages, some with tags."""
+    g, c = graph(spark, d), F.col
+    n = g.nodes
+    up = n.select(c("id").alias("parent"), c("path").alias("above"))
+    ext = F.when(c("id") < 1_000_000, "go").when(c("id") % 2 == 0, "py").otherwise("ts")
+    where = F.when(c("id") % 3 == 0, "src").when(c("id") % 3 == 1, "alpha").otherwise("beta_x")
+    none = F.array().cast("array<string>")
+    tags = F.when(c("id") < 1_000_000, F.when(c("parent") % 3 == 0, c("tags")).otherwise(none)).when(c("id") % 10 == 0, F.array(F.concat(F.lit("env:PG_"), (c("id") % 100).cast("string")))).when(c("id") % 50 == 1, c("tags")).otherwise(none)
+    lang = F.when(ext == "go", "go").when(ext == "py", "python").otherwise("typescript")
+    files = n.filter("kind = 'file'").join(up, "parent").select("id", "kind", "name", F.concat("above", F.lit("/"), where, F.lit("/"), "name", F.lit("."), ext).alias("path"), lang.alias("lang"), "parent", "loc", tags.alias("tags"), "external")
+    at = files.select(c("id").alias("parent"), c("path").alias("above"))
+    symbols = n.filter("kind = 'symbol'").join(at, "parent").select("id", "kind", "name", F.concat("above", F.lit("#"), c("id").cast("string")).alias("path"), F.lit(None).cast("string").alias("lang"), "parent", "loc", F.when(c("id") % 20 == 1, c("tags")).otherwise(none).alias("tags"), "external")
+    rest = n.filter("kind not in ('file', 'symbol')").withColumn("lang", F.lit(None).cast("string"))
+    return M.facts(rest.unionByName(files).unionByName(symbols), g.edges)
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return M.containers(_code(spark, d)).drop("id")
+
+
+def _placement(spark: SparkSession, d: str) -> DataFrame:
+    return M.placement(_code(spark, d))
+
+
+def _backed(spark: SparkSession, d: str) -> DataFrame:
+    f = _code(spark, d)
+    return M.backed(f, M.placement(f)).select("level", "src", "dst", "label", "technology", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+def _touching(spark: SparkSession, d: str) -> DataFrame:
+    f = _code(spark, d)
+    gaps = f.tags.filter(F.col("tag").startswith("route:")).select(F.substr("tag", F.lit(7)).alias("key"), "path")
+    return M.touching(M.externals(M.touches(f, gaps))[1], M.placement(f)).select("level", "src", "dst", "label", "technology", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as journeys between a person, two containers, of which one is hidden, and a log, drawn as one system."""
+    c = F.col
+    system = c("role") == "system"
+    src = F.when(c("role") == "user", "p:user").when(system, "c:hidden/x").otherwise("c:a/t")
+    dst = F.when(c("turn") % 5 == 4, "x:log").otherwise(F.concat(F.lit("c:b/k"), (c("turn") % 2).cast("string")))
+    label = F.when(F.contains("text", F.lit("?")), "ask").otherwise("tell")
+    said = read(spark, d, "conversations").select(c("conv_id").alias("journey"), c("turn").alias("ord"), src.alias("src"), dst.alias("dst"), F.lit("call").alias("kind"), label.alias("label"))
+    boxes = spark.createDataFrame([("c:a", False), ("c:b", False), ("c:hidden", True)], "id string, hidden boolean")
+    return M.projected(said, boxes, "context").select("journey", F.col("n").cast("long").alias("n"), "src", "dst", "kind", "label")
+
+
 def queries() -> dict[str, Query]:
     c = F.col
     return {
+        "model_containers": _boxes,
+        "model_placement": _placement,
+        "model_relationships": _backed,
+        "model_touches": _touching,
+        "journey_drawn": _drawn,
         "nodes_resolved": _resolved,
         "queue_flows": _topics,
         "evidence_technology": _technology,

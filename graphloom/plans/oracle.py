@@ -58,8 +58,65 @@ PROJECTED = """p AS (SELECT *, row_number() OVER w AS place, CASE WHEN lag(src)
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY journey ORDER BY ord) AS island FROM p)"""
 
 
+SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'x')"
+TITLE = "array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[-_ ]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ')"
+CODE = f"""code AS (SELECT n.id, n.name, n.parent, n.loc, 'file' AS kind, CASE WHEN n.id < 1000000 THEN 'go' WHEN n.id % 2 = 0 THEN 'python' ELSE 'typescript' END AS lang,
+  p.path || '/' || CASE n.id % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'alpha' ELSE 'beta_x' END || '/' || n.name || CASE WHEN n.id < 1000000 THEN '.go' WHEN n.id % 2 = 0 THEN '.py' ELSE '.ts' END AS path,
+  CASE WHEN n.id < 1000000 THEN CASE WHEN n.parent % 3 = 0 THEN n.tags ELSE [] END WHEN n.id % 10 = 0 THEN ['env:PG_' || (n.id % 100)] WHEN n.id % 50 = 1 THEN n.tags ELSE [] END AS tags, p.name AS package, p.path AS dir
+  FROM nodes n JOIN nodes p ON n.parent = p.id WHERE n.kind = 'file'),
+parts AS (SELECT s.id, c.id AS file, c.path || '#' || s.id AS path, CASE WHEN s.id % 20 = 1 THEN s.tags ELSE [] END AS tags FROM nodes s JOIN code c ON s.parent = c.id WHERE s.kind = 'symbol'),
+met AS (SELECT id AS file, unnest(tags) AS t, id AS node FROM code UNION ALL SELECT file, unnest(tags), id FROM parts),
+ft AS (SELECT c.package, c.path, m.t, min(m.node) AS node FROM met m JOIN code c ON m.file = c.id GROUP BY 1, 2, 3),
+grp AS (SELECT *, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'alpha' ELSE 'beta_x' END AS dirname FROM code),
+sz AS (SELECT package, count(DISTINCT dirname) AS groups, count(*) AS n FROM grp GROUP BY 1),
+titled AS (SELECT g.id, g.package, g.path, CASE WHEN groups = 1 AND n <= 6 THEN {TITLE.format("g.name")} WHEN dirname = '' THEN 'Core' ELSE {TITLE.format("dirname")} END AS name FROM grp g JOIN sz USING (package)),
+placed AS (SELECT *, 'c:' || {SLUG.format("package")} || '/' || {SLUG.format("name")} AS component FROM titled)"""
+ENDS = """spot AS (SELECT id, id AS file, path FROM code UNION ALL SELECT id, file, path FROM parts),
+e AS (SELECT a.path AS f, b.path AS t, kind AS via, label, ka.component AS ka, kb.component AS kb FROM edges x JOIN spot a ON x.src = a.id JOIN spot b ON x.dst = b.id JOIN placed ka ON a.file = ka.id JOIN placed kb ON b.file = kb.id WHERE kind <> 'contains' AND a.file <> b.file),
+ev AS (SELECT level, src, dst, f, t, via, min(label) AS label FROM (SELECT 'component' AS level, ka AS src, kb AS dst, f, t, via, label FROM e UNION ALL SELECT 'container', split_part(ka, '/', 1), split_part(kb, '/', 1), f, t, via, label FROM e) WHERE src <> dst GROUP BY 1, 2, 3, 4, 5, 6),
+few AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY level, src, dst ORDER BY f, t, via) <= 12),
+said AS (SELECT level, src, dst, label, row_number() OVER (PARTITION BY level, src, dst ORDER BY min(f || chr(1) || t || chr(1) || via)) AS r FROM few WHERE via = 'flow' GROUP BY 1, 2, 3, 4),
+words AS (SELECT level, src, dst, string_agg(label, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS l, count(*) AS n FROM said GROUP BY 1, 2, 3)"""
+MODEL = {
+    "model_containers": f"""{BASE}, {CODE},
+of AS (SELECT package, count(*) AS files, sum(loc)::BIGINT AS loc, arg_min(lang, path) AS first, any_value(dir) AS dir FROM code GROUP BY 1),
+has AS (SELECT package, list(DISTINCT t) AS ts FROM ft GROUP BY 1),
+ln AS (SELECT package, arg_max(lang, (s, lang)) AS language FROM (SELECT package, lang, sum(greatest(loc, 1)) AS s FROM code GROUP BY 1, 2) GROUP BY 1),
+dep AS (SELECT c.package, x.name AS dep, sum(e.weight) AS w FROM edges e JOIN nodes x ON e.dst = x.id AND x.external JOIN code c ON e.src = c.id WHERE e.kind = 'imports' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c.package ORDER BY w DESC, dep) <= 3),
+tech AS (SELECT package, string_agg(dep, ', ' ORDER BY w DESC, dep) AS deps FROM dep GROUP BY 1),
+all_ AS (SELECT p.name AS package, p.path AS pdir, o.*EXCLUDE (package), coalesce(h.ts, []) AS ts, ln.language, tech.deps,
+  CASE o.first WHEN 'go' THEN 'Go' WHEN 'python' THEN 'Python' WHEN 'typescript' THEN 'TypeScript' ELSE '' END AS lname
+  FROM nodes p LEFT JOIN of o ON p.name = o.package LEFT JOIN has h ON p.name = h.package LEFT JOIN ln ON p.name = ln.package LEFT JOIN tech ON p.name = tech.package WHERE p.kind = 'package' AND NOT p.external),
+k AS (SELECT *, CASE WHEN files IS NULL THEN 'tooling' WHEN list_contains(ts, 'http-server') THEN 'service' WHEN list_contains(ts, 'queue') AND NOT list_contains(ts, 'http-client') AND first <> 'typescript' THEN 'worker'
+  WHEN first = 'typescript' AND list_contains(ts, 'http-client') THEN 'web' ELSE 'library' END AS kind,
+  list_filter([CASE WHEN list_contains(ts, 'http-server') THEN 'serves HTTP routes' END, CASE WHEN list_contains(ts, 'http-client') THEN 'calls HTTP APIs' END, CASE WHEN list_contains(ts, 'db') THEN 'reads a database' END, CASE WHEN list_contains(ts, 'queue') THEN 'uses a queue' END], lambda x: x IS NOT NULL) AS ph FROM all_)
+SELECT package, {TITLE.format("package")} AS name, kind, coalesce(language, '') AS language, concat_ws(', ', nullif(lname, ''), deps) AS technology,
+  CASE WHEN files IS NULL THEN 'The `' || package || '` package has no source files of its own.' ELSE files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END || ' of ' || lname || ' in `' || pdir || '`' || CASE WHEN len(ph) > 0 THEN '; ' || array_to_string(ph, ', ') ELSE '' END || '.' END AS description,
+  coalesce(files, 0) AS files, coalesce(loc, 0) AS loc, kind = 'tooling' OR coalesce(loc, 0) = 0 AS hidden FROM k""",
+    "model_placement": f"{BASE}, {CODE} SELECT package, path, component, name FROM placed",
+    "model_relationships": f"""{BASE}, {CODE}, {ENDS}
+SELECT level, src, dst, CASE WHEN any_value(w.n) > 0 THEN any_value(w.l) || CASE WHEN any_value(w.n) > 3 THEN ' and ' || (any_value(w.n) - 3) || ' more' ELSE '' END WHEN NOT bool_or(via = 'calls') THEN 'imports' WHEN NOT bool_or(via = 'imports') THEN 'calls' ELSE 'imports and calls' END AS label,
+  CASE WHEN level = 'container' AND bool_or(starts_with(label, 'http ')) THEN 'HTTP' ELSE '' END AS technology, count(*) AS n_evidence
+FROM few LEFT JOIN words w USING (level, src, dst) GROUP BY level, src, dst""",
+    "model_touches": f"""{BASE}, {CODE},
+env AS (SELECT package, arg_min(t, (path, node)) AS t FROM ft WHERE regexp_matches(t, '^env:.*(DATABASE|DB|PG|SQL)') GROUP BY 1),
+touch AS (SELECT package, 'database' AS kind, 0 AS o, 'Database' || coalesce(' (' || env.t[5:] || ')', '') AS name, 'reads and writes' AS verb, 'SQL' AS technology, path, '' AS key FROM ft LEFT JOIN env USING (package) WHERE ft.t = 'db'
+  UNION ALL SELECT package, 'queue', 1, 'Queue', 'puts work on', 'queue', path, '' FROM ft WHERE t = 'queue'
+  UNION ALL SELECT package, 'service', 3, 'Outside HTTP API', 'calls ' || t[7:], 'HTTP', path, t[7:] FROM ft WHERE starts_with(t, 'route:')),
+chosen AS (SELECT kind, 'x:' || {SLUG.format("arg_min(name, package)")} AS x FROM touch GROUP BY 1),
+both_ AS (SELECT 'container' AS level, 'c:' || {SLUG.format("t.package")} AS src, x AS dst, t.* FROM touch t JOIN chosen USING (kind) UNION ALL SELECT 'component', p.component, x, t.* FROM touch t JOIN chosen USING (kind) JOIN placed p ON t.path = p.path),
+v AS (SELECT level, src, dst, key, any_value(verb) AS verb, any_value(technology) AS technology FROM both_ GROUP BY 1, 2, 3, 4)
+SELECT v.level, v.src, v.dst, CASE WHEN v.level = 'container' THEN string_agg(v.verb, ', ' ORDER BY v.key) ELSE arg_min(v.verb, v.key) END AS label, any_value(v.technology) AS technology, any_value(n.n) AS n_evidence
+FROM v JOIN (SELECT level, src, dst, least(count(DISTINCT path), 12) AS n FROM both_ GROUP BY 1, 2, 3) n USING (level, src, dst) GROUP BY 1, 2, 3""",
+    "journey_drawn": """WITH m AS (SELECT conv_id AS journey, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE role WHEN 'user' THEN 'p:user' WHEN 'system' THEN NULL ELSE 's' END AS src, CASE WHEN turn % 5 = 4 THEN 'x:log' ELSE 's' END AS dst, CASE WHEN contains(text, '?') THEN 'ask' ELSE 'tell' END AS label FROM conversations),
+q AS (SELECT *, CASE WHEN lag(src) OVER w = src AND lag(dst) OVER w = dst THEN 0 ELSE 1 END AS fresh FROM m WHERE src IS NOT NULL AND src <> dst WINDOW w AS (PARTITION BY journey ORDER BY ord)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY journey ORDER BY ord) AS island FROM q)
+SELECT journey, min(n) AS n, any_value(src) AS src, any_value(dst) AS dst, 'call' AS kind, CASE WHEN count(DISTINCT label) = 1 THEN any_value(label) ELSE arg_min(label, ord) || ', ' || CASE arg_min(label, ord) WHEN 'ask' THEN 'tell' ELSE 'ask' END END AS label FROM i GROUP BY journey, island""",
+}
+
+
 def oracles() -> dict[str, str]:
-    out = LOOKUPS | {
+    out = LOOKUPS | MODEL | {
         "view_package": f"{BASE}, {lifted(PACKAGE)} {VIEW}",
         "view_file": f"{BASE}, {lifted(FILE)} {VIEW}",
         "view_symbol": f"{BASE}, {lifted(SYMBOL)} {VIEW}",
