@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
+from graphloom.functions.builtins import builtin
 from graphloom.functions.text import LANGUAGES, language, minified, nonblank_lines
 from graphloom.plans.routes import matched
 from graphloom.sources.extract import environment, extract
@@ -163,11 +164,11 @@ class Scan:
     unresolved: DataFrame  # file, callee
 
 
-def scan(files: DataFrame, manifests: DataFrame, builtins: dict[str, list[str]] | None = None) -> Scan:
+def scan(files: DataFrame, manifests: DataFrame, builtins: bool = False) -> Scan:
     """The graph of a source tree. Ids are paths: packages `package:<dir>`, files their path, symbols
     `<file>#<name>`, externals `external:<name>:<lang>`. Files over MOST_BYTES and minified ones are left out.
 
-    builtins: by language, callees that are never looked for.
+    builtins: whether to look for the definitions of callees that languages bring along, too.
     """
     spark, packs = files.sparkSession, packages(manifests)
     c = F.col
@@ -218,9 +219,7 @@ def scan(files: DataFrame, manifests: DataFrame, builtins: dict[str, list[str]]
     from_id = defs.select("file", c("def").alias("scope"), c("id").alias("from"))
     calls = facts.filter("fact = 'call'").select("file", "lang", "ord", "name", "leaf", "scope", "strings", "idents")
     calls = calls.join(from_id, ["file", "scope"], "left").withColumn("from", F.coalesce("from", "file"))
-    wanted = calls
-    for lang, names in (builtins or {}).items():
-        wanted = wanted.filter(~((c("lang") == lang) & c("name").isin(*names)))
+    wanted = calls if builtins else calls.filter(~builtin(c("name"), c("lang")))
     bare = wanted.select("file", "ord", "from", F.regexp_replace("name", "!$", "").alias("callee"), F.regexp_replace("leaf", "!$", "").alias("leaf"))
     stripped = F.regexp_replace("callee", r"^(?:self\.|this\.|Self::)+", "")
     keys = bare.select("*", F.posexplode(F.array(c("callee"), stripped, c("leaf"))).alias("prio", "key")).select("file", "ord", "from", "leaf", "callee", "prio", "key")

@@ -1,7 +1,9 @@
 """A small shop in four languages, from sources to traces."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.functions.builtins import builtin
 from graphloom.operators import traces as R
 from graphloom.sources.extract import expand_use, extract
 from graphloom.sources.scan import scan, walk
@@ -65,6 +67,15 @@ def test_calls(shop):
     assert {("app.py#items", "items.py#find_items"), ("app.py#item", "mail.py#tell"), ("page.ts#start", "client.ts#loadItems"), ("page.ts#start", "client.ts#pack"), ("main.go#handle", "store.go#All"), ("store.go#All", "store.go#open"), ("boxes.rs#sync", "boxes.rs#Box::all"), ("cmds.rs#pack_box", "boxes.rs#sync"), ("lib.rs#run", "boxes.rs#sync")} <= got
 
 
+def test_unresolved_leaves_out_what_languages_bring(spark, shop):
+    got = {(r.file, r.callee) for r in shop.unresolved.collect()}
+    assert ("jobs/store/store.go", "db.Query") in got and ("shell/src/boxes.rs", "reqwest::blocking::get") in got
+    assert not {c for _, c in got} & {"print", "vec!", "vec"}
+    calls = [("print", "python", True), ("x.append", "python", True), ("append", "python", False), ("vec!", "rust", True), ("a.b.clone", "rust", True), ("clone", "rust", False), ("Math.tan", "javascript", True), ("el.classList.add", "typescript", True), ("fetch", "typescript", False), ("mux.Close", "go", True), ("fmt.Sprint", "go", False), ("anything", "cobol", True), ("Some(x).y", "rust", True)]
+    rows = spark.createDataFrame(calls, "callee string, lang string, want boolean").withColumn("got", builtin(F.col("callee"), F.col("lang"))).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
 def test_flows(shop):
     assert edges(shop, "flow") == {
         ("ui/src/client.ts#loadItems", "back/app.py#items", "http /items"), ("ui/src/client.ts#loadItem", "back/app.py#item", "http /items/*"),
