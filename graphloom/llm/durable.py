@@ -6,14 +6,16 @@ import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
 #: The most bytes of rows that go to a Python worker at a time. Texts that are longer go alone.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,10 +30,32 @@ def folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run within delete their shuffles from the executors' disks once they end."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder."""
+    """df, computed once and written to the shared checkpoint folder. The shuffles that made it go: the
+    written rows are read from then on, by any executor."""
     folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with passing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def one(df: DataFrame) -> Row | None:
+    """The first row of a small df, such as a total; its shuffles go."""
+    with passing(df.sparkSession):
+        return df.select("*").first()
 
 
 def _bytes(size: str) -> int:
