@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.durable import cut
+from graphloom.llm.durable import cut, one
+
+
+def _either(rows: DataFrame, *links: Column) -> DataFrame:
+    """All of the links of each row, in one pass over rows."""
+    return rows.select(F.inline(F.array(*links)))
 
 
 def _stars(edges: DataFrame, upward: bool) -> DataFrame:
@@ -13,13 +18,13 @@ def _stars(edges: DataFrame, upward: bool) -> DataFrame:
 
     upward: the neighbours larger than the vertex (large star); else the vertex and its smaller ones.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if upward else edges
+    both = _either(edges, F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))) if upward else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     joined = both.join(least, "a")
     if upward:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = _either(joined, F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
 
@@ -34,7 +39,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, seen = cut(now), None
     for _ in range(rounds):
         now = cut(_stars(_stars(now, True), False))
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        mark = tuple(one(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))))
         if mark == seen:
             break
         seen = mark

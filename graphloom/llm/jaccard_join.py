@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
 from graphloom.llm.components import components
-from graphloom.llm.durable import cut, map_arrow
+from graphloom.llm.durable import cut, map_arrow, one
 
 WORDS, PERCENT = 3, 90
 #: A probe of a list costs about this many subset keys: lists hold more sets that turn out not to link.
@@ -293,7 +293,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     real = seen.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "low", "high"]
     classes = cut(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    total = one(classes.agg(F.sum("n_shingles")))[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 16 // 5 // RANGE_BYTES + 1)  # under a fifth of the shingles become postings
     own = real.filter(F.size("keys") > 0).join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"]).dropDuplicates([*same, "doc_id"])
     packed = map_arrow(own.select("doc_id", "keys"), _pack(parts), "part int, packed binary")
