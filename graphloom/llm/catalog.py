@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, license_scan, tiff_media
+from graphloom.llm import chat_format, license_scan, tiff_media, vector_codes
 from graphloom.llm import line_dedup as lines
 from graphloom.llm.decontaminate import hits
 from graphloom.llm.jaccard_join import jaccard_join
@@ -68,13 +68,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_chat_formatting, op2_benchmark_decontamination, op3_substring_dedup, op4_media_columns, op5_sentencepiece,
-        op6_license_scans, op7_line_dedup, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join,
+        op6_license_scans, op7_line_dedup, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join, op11_vector_codes,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scans": license_scan.oracle(), "op7_line_dedup": lines.ORACLE}
+    return {"op6_license_scans": license_scan.oracle(), "op7_line_dedup": lines.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
