@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, license_scan, tiff_media, vector_codes
+from graphloom.llm import chat_format, fill_middle, host_rules, license_scan, tiff_media, vector_codes
 from graphloom.llm import line_dedup as lines
 from graphloom.llm.decontaminate import hits
 from graphloom.llm.jaccard_join import jaccard_join
@@ -72,13 +72,25 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(_table(spark, sf_dir, "documents")).drop("host", "host_rejected")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_chat_formatting, op2_benchmark_decontamination, op3_substring_dedup, op4_media_columns, op5_sentencepiece,
         op6_license_scans, op7_line_dedup, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join, op11_vector_codes,
+        op12_host_rules, op13_fill_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scans": license_scan.oracle(), "op7_line_dedup": lines.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+    return {
+        "op6_license_scans": license_scan.oracle(), "op7_line_dedup": lines.ORACLE, "op11_vector_codes": vector_codes.ORACLE,
+        "op12_host_rules": host_rules.ORACLE, "op13_fill_middle": fill_middle.ORACLE,
+    }

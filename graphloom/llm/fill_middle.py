@@ -48,16 +48,17 @@ def draw(doc_id: Column, i: int) -> Column:
 
 
 def plans(texts: DataFrame) -> DataFrame:
-    """Rows (k, doc_id, text) with n, form, first and second: how many units, which form, and the unit
-    ordinals after which prefix and middle end."""
-    drawn = texts.select("k", "text", n_units(F.col("text")).cast("long").alias("n"), *[draw(F.col("doc_id"), i).alias(f"h{i}") for i in range(4)])
+    """Rows (k, doc_id, text, n) with form, first and second: which form the text of n units gets, and the
+    unit ordinals after which prefix and middle end, 0 where it is plain."""
+    drawn = texts.select("k", "text", "n", *[draw(F.col("doc_id"), i).alias(f"h{i}") for i in range(4)])
     cuts = [F.col(f"h{i}") % (F.col("n") + 1) for i in range(2)]
     marked = F.lit(False)
     for m in MARKS:
         marked = marked | F.contains("text", F.lit(m))
-    plain = (F.col("text") == "") | marked | (F.col("h2") % 100 >= RATE)
+    plain = (F.col("n") == 0) | marked | (F.col("h2") % 100 >= RATE)
     form = F.when(plain, "plain").when(F.col("h3") % 100 < SPM, "spm").otherwise("psm")
-    return drawn.select("k", "text", "n", form.alias("form"), F.least(*cuts).alias("first"), F.greatest(*cuts).alias("second"))
+    planned = drawn.select("k", "text", "n", form.alias("form"), F.array(F.least(*cuts), F.greatest(*cuts)).alias("cuts"))
+    return planned.select("k", "text", "form", *[F.when(F.col("form") != "plain", F.get("cuts", i)).otherwise(0).alias(c) for i, c in enumerate(("first", "second"))])
 
 
 def _running(by: Column, *keys: str) -> Column:
@@ -65,12 +66,14 @@ def _running(by: Column, *keys: str) -> Column:
     return F.coalesce(F.sum("chars").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def offsets(planned: DataFrame) -> DataFrame:
-    """(k, n, form, first_at, second_at): characters before the two cuts of each row of planned, whose k are
-    distinct; null where the form is plain."""
-    requests = planned.select("k", "n", "form", F.explode(F.array("first", "second")).alias("ordinal"), (F.col("form") != "plain").alias("cut"))
-    asked = requests.filter("cut AND ordinal > 0").select("k", "ordinal").distinct().select(F.col("k").alias("key"), "ordinal", F.floor((F.col("ordinal") - 1) / BLOCK).alias("of"))
-    blocks = planned.filter("form <> 'plain'").select("k", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:{UNIT}){{1,{BLOCK}}}"), F.lit(0))).alias("block", "units"))
+def offsets(texts: DataFrame) -> DataFrame:
+    """(k, form, first_at, second_at) of rows (k, doc_id, text, n), one row a k: the form, and the characters
+    before the two cuts, null where the form is plain. Rows that share k must be equal."""
+    requests = plans(texts).select("k", "form", F.explode(F.array("first", "second")).alias("ordinal"), (F.col("form") != "plain").alias("cut"))
+    # not filtered here: a filter would move below the exchange and have the texts dealt once more. Ordinal 0 falls into no block
+    asked = requests.select("k", "ordinal").distinct().select(F.col("k").alias("key"), "ordinal", F.floor((F.col("ordinal") - 1) / BLOCK).alias("of"))
+    once = texts.groupBy("k").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "n")])
+    blocks = plans(once).filter("form <> 'plain'").select("k", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:{UNIT}){{1,{BLOCK}}}"), F.lit(0))).alias("block", "units"))
     placed = blocks.withColumn("chars", F.length("units")).select("k", "block", "units", _running(F.col("block"), "k").alias("before"))
     # equal keys alone are the join's keys, so that it keeps the partitioning; a document has two requests at most
     hit = placed.join(asked, (F.col("k") == F.col("key")) & (F.col("block") - F.col("of") == 0))
@@ -79,7 +82,7 @@ def offsets(planned: DataFrame) -> DataFrame:
     found = summed.filter(F.col("of") * BLOCK + F.col("unit") + 1 - F.col("ordinal") == 0).select(F.col("k").alias("key"), F.col("ordinal").alias("asked"), "at")
     joined = requests.join(found, (F.col("k") == F.col("key")) & (F.col("ordinal") - F.col("asked") == 0), "left")
     at = F.when(F.col("cut"), F.coalesce("at", F.lit(0)))
-    return joined.groupBy("k").agg(F.first("n").alias("n"), F.first("form").alias("form"), F.min(at).alias("first_at"), F.max(at).alias("second_at"))
+    return joined.groupBy("k").agg(F.first("form").alias("form"), F.min(at).alias("first_at"), F.max(at).alias("second_at"))
 
 
 def rewritten(text: Column, form: Column, first: Column, second: Column) -> Column:
@@ -115,10 +118,9 @@ def fill_middle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64(body)))
-    # every branch of the plan needs all three columns, so that this exchange is made once and read again
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), key.alias("k")).repartition("k")
-    once = dealt.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    out = dealt.join(offsets(plans(once)), "k")
+    # every branch of the plan needs all four columns, so that this exchange is made once and read again
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), key.alias("k"), n_units(body).cast("long").alias("n")).repartition("k")
+    out = dealt.join(offsets(dealt), "k")
     return out.select("doc_id", "n", "form", F.col("first_at").cast("long").alias("prefix_chars"), (F.col("second_at") - F.col("first_at")).cast("long").alias("middle_chars"), rewritten(F.col("text"), F.col("form"), F.col("first_at"), F.col("second_at")).alias("output"))
 
 
