@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.durable import cut, one
+from graphloom.llm.durable import cut, one, spent
+
+#: Links that a task works on at least; fewer tasks leave fewer small shuffle files.
+TASK_LINKS = 100_000
 
 
 def _either(rows: DataFrame, *links: Column) -> DataFrame:
@@ -35,14 +38,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregations with joins, its result is cut, and the number of rounds grows with the logarithm of
     the longest path. Nothing but two numbers a round reaches the driver.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    now, seen = cut(now), None
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    mark = None
     for _ in range(rounds):
-        now = cut(_stars(_stars(now, True), False))
-        mark = tuple(one(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))))
+        before, seen, mark = now, mark, tuple(one(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))))
         if mark == seen:
             break
-        seen = mark
+        tasks = mark[0] // TASK_LINKS + 1
+        now = cut(_stars(_stars(now.coalesce(tasks), True).coalesce(tasks), False).coalesce(tasks))
+        spent(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -7,6 +7,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("cuts", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -49,7 +51,37 @@ def cut(df: DataFrame) -> DataFrame:
     written rows are read from then on, by any executor."""
     folder(df.sparkSession)
     with passing(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        out = df.select("*").checkpoint(eager=True)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(out)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spent(*cuts: DataFrame) -> None:
+    """Deletes the files of results of `cut` that nothing will read any more. What was made of them must
+    have been cut itself, or written."""
+    for df in cuts:
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if at.isDefined():
+            remove(df.sparkSession, at.get())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is cut within is deleted at the end: results that read it must have been written by then."""
+    token = _scope.set([])
+    try:
+        yield
+        spent(*_scope.get())
+    finally:
+        _scope.reset(token)
 
 
 def one(df: DataFrame) -> Row | None:

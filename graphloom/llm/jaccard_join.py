@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
 from graphloom.llm.components import components
-from graphloom.llm.durable import cut, map_arrow, one
+from graphloom.llm.durable import cut, map_arrow, one, spent
 
 WORDS, PERCENT = 3, 90
 #: A probe of a list costs about this many subset keys: lists hold more sets that turn out not to link.
@@ -299,9 +299,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     packed = map_arrow(own.select("doc_id", "keys"), _pack(parts), "part int, packed binary")
     shared = cut(packed.groupBy("part").applyInArrow(_unpack(parts), _LINK))
 
+    asked: list[DataFrame] = []
+
     def sets_of(ids: DataFrame) -> DataFrame:
         """(doc_id, elements) of the documents of ids (doc_id)."""
         ids = cut(ids.distinct())
+        asked.append(ids)
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         return map_arrow(base.join(ids, "doc_id", "left_semi"), _sets(words), "doc_id long, elements binary")
 
@@ -318,20 +321,25 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
     twice = placed.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     first = cut(linked(stars).unionByName(twice))
-    part = cut(components(first))
+    joined = components(first)
+    part = cut(joined)
     of = shared.select("key", "rep").distinct().join(part.select(F.col("id").alias("rep"), F.col("component")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = classes.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     open_ = of.join(sizes, "rep").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum("most").alias("shingles")).filter("lo < hi")
     rest = cut(of.join(open_.select("key", "members", "shingles"), "key").join(sizes, "rep"))
+    spent(shared, part)
     short = rest.filter(F.col("members") <= SHORT_LIST)
     x = short.select("key", F.col("rep").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("component").alias("ca"))
     y = short.select("key", F.col("rep").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
     more = x.join(y, "key").filter("ca < cb").filter((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent))
-    second = cut(linked(cut(_unseen(more, stars))))
+    unseen = cut(_unseen(more, stars))
+    second = cut(linked(unseen))
+    spent(unseen, stars)
     # lists of the same smallest set mostly hold the same sets: these are compared together and sent once
     big = rest.filter(F.col("members") > SHORT_LIST)
-    bundle = cut(big.join(big.groupBy("key").agg(F.min("rep").alias("head")), "key").select("head", "rep", "component", "most").distinct())
-    bundle = bundle.join(bundle.groupBy("head").agg(F.sum("most").alias("shingles")), "head")
+    headed = cut(big.join(big.groupBy("key").agg(F.min("rep").alias("head")), "key").select("head", "rep", "component", "most").distinct())
+    spent(rest)
+    bundle = headed.join(headed.groupBy("head").agg(F.sum("most").alias("shingles")), "head")
     pieces = F.ceil(F.col("shingles") / F.lit(TILE_SHINGLES)).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: (k != F.col("chunk")) | (F.col("pieces") == 1))
@@ -339,6 +347,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     long_ = cut(long_.select("head", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "component"))
     tiles = long_.join(sets_of(long_.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "elements"), "rep")
     second = second.unionByName(cut(tiles.groupBy("head", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()))
+    spent(headed, long_, *asked)
     ends = components(first.unionByName(second))
     named = classes.join(ends, F.col("rep") == F.col("id"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "class_size")
     rows = seen.drop("keys").join(named, same, "left")

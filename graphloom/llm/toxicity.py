@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit
-from graphloom.llm.durable import cut, map_arrow
+from graphloom.llm.durable import cut, map_arrow, spent
 
 MOST_LABELLED = 50_000
 BUCKETS = 1 << 20
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     toxic, tokens, tops = rows.column("toxic").to_numpy(), np.maximum(rows.column("tokens").to_numpy(), 1), rows.column("top").to_numpy()
     clean = toxic == 0
     ups = seen.filter("n is not null").groupBy("value").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each weight
+    spent(seen)
     up, n = np.append(ups.column("value").to_numpy(), model.weights.max()), np.append(ups.column("n").to_numpy(), 1)
     total = tokens[clean].sum() + 1
     value, share = np.append(up.astype(float), -DRIFT), np.append(n / total, 1 - n.sum() / total)
