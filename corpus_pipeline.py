@@ -60,12 +60,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written and read again."""
+    """All stages over documents, each but the last written and read again. A stage's input and checkpoints
+    go once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{durable.folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{n}")
-            docs = spark.read.parquet(f"{folder}/{n}")
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        with durable.scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        durable.remove(spark, f"{folder}/{n - 1}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return STAGES[-1][1](spark, docs, sf_dir)
