@@ -114,7 +114,7 @@ def sinks(g: Graph) -> DataFrame:
     """(id, sink): sink tags of nodes, and unmatched routes of clients without a flow."""
     ends = g.nodes.select("id", F.explode(F.array_intersect("tags", F.array(*[F.lit(t) for t in SINK_TAGS]))).alias("sink"))
     flowing = g.edges.filter("kind = 'flow'").select(F.col("src").alias("id")).distinct()
-    clients = g.nodes.filter(F.array_contains("tags", "http-client")).join(flowing, "id", "left_anti").select("id", F.explode("tags").alias("t")).filter(F.col("t").startswith("route:") | F.col("t").startswith("ipc:"))
+    clients = g.nodes.filter(F.arrays_overlap("tags", F.array(F.lit("http-client"), F.lit("ipc-client")))).join(flowing, "id", "left_anti").select("id", F.explode("tags").alias("t")).filter(F.col("t").startswith("route:") | F.col("t").startswith("ipc:"))
     return ends.unionByName(clients.select("id", F.concat(F.lit("unmatched "), "t").alias("sink")))
 
 

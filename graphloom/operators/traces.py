@@ -1,96 +1,147 @@
-"""End-to-end traces: depth-first walks from entries over calls and flows."""
+"""End-to-end traces: depth-first walks from entries over calls and flows, and the contracts they cross."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import entries
+from graphloom.operators.graph import SINK_TAGS, entries, hops, kept, leads_somewhere, lift
 from graphloom.plans.durable import cut
+from graphloom.sources.projection import Graph
 
 DEPTH, STEPS = 24, 300
 
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, kind, handlers, callers, status): contracts of servers and clients, gaps first. Nodes with a flow
-    stand for their flows' keys; other servers and clients for those of their tags."""
-    flows = edges.filter("kind = 'flow'")
-    key = lambda: F.regexp_replace("label", r"^http |^ipc |^queue ", "")
-    kind = F.substring_index("label", " ", 1)
-    rows = flows.select(key().alias("key"), kind.alias("kind"), F.col("dst").alias("handler"), F.col("src").alias("caller"))
+    """(key, kind, handlers, callers, status): contracts of servers and clients, gaps first.
+
+    Flows pair their ends under their label. A node that flows, and a key that flows, is accounted for
+    there; other tags make their node a handler if it serves, a caller if it asks. Of a topic the producer
+    asks and who else names it answers.
+    """
+    flows = edges.filter("kind = 'flow' AND label IS NOT NULL")
+    key = F.regexp_replace("label", r"^(http|ipc|queue) ", "")
+    rows = flows.select(key.alias("key"), F.substring_index("label", " ", 1).alias("kind"), F.col("dst").alias("handler"), F.col("src").alias("caller"))
     flowing = flows.select(F.col("src").alias("id")).unionByName(flows.select(F.col("dst").alias("id"))).distinct()
-    rest = nodes.join(flowing, "id", "left_anti").withColumn("t", F.explode("tags")).filter(F.col("t").rlike("^(route|ipc|topic):"))
-    server = F.arrays_overlap("tags", F.array(F.lit("http-server"), F.lit("ipc-server"), F.lit("queue")))
-    what = F.when(F.col("t").startswith("route:"), "http").when(F.col("t").startswith("ipc:"), "ipc").otherwise("queue")
-    rest = rest.select(F.regexp_replace("t", "^(route|ipc|topic):", "").alias("key"), what.alias("kind"), F.when(server, F.col("id")).alias("handler"), F.when(~server, F.col("id")).alias("caller"))
+    tagged = nodes.filter("kind IN ('symbol', 'file')").join(flowing, "id", "left_anti").withColumn("t", F.explode("tags")).filter(F.col("t").rlike("^(route|ipc|topic):"))
+    has = lambda *names: F.arrays_overlap("tags", F.array(*[F.lit(t) for t in names]))
+    kind = F.when(F.col("t").startswith("route:"), "http").when(F.col("t").startswith("ipc:"), "ipc").otherwise("queue")
+    asks = F.when(kind == "queue", has("queue-producer")).otherwise(~has("http-server", "ipc-server") & has("http-client", "ipc-client"))
+    serves = F.when(kind == "queue", ~has("queue-producer")).otherwise(has("http-server", "ipc-server"))
+    rest = tagged.select(F.regexp_replace("t", "^(route|ipc|topic):", "").alias("key"), kind.alias("kind"), F.when(serves, F.col("id")).alias("handler"), F.when(asks, F.col("id")).alias("caller"))
+    rest = rest.filter("handler IS NOT NULL OR caller IS NOT NULL").join(rows.select("key", "kind").distinct(), ["key", "kind"], "left_anti")
     out = rows.unionByName(rest).groupBy("key", "kind").agg(F.array_sort(F.collect_set("handler")).alias("handlers"), F.array_sort(F.collect_set("caller")).alias("callers"))
     status = F.when(F.size("handlers") == 0, "no-handler").when(F.size("callers") == 0, "no-callers").otherwise("ok")
-    return out.withColumn("status", status).orderBy(F.col("status") == "ok", "key")
+    return out.withColumn("status", status).orderBy(F.col("status") == "ok", "kind", "key")
+
+
+def node_sinks(nodes: DataFrame, walked: DataFrame) -> DataFrame:
+    """(id, sinks): the sink tags of each node in their order, then the routes and commands that a client
+    names which flows nowhere. Nodes without any are left out."""
+    crosses = walked.filter("kind = 'flow'").select(F.col("src").alias("id"), F.lit(True).alias("crosses")).distinct()
+    client = F.arrays_overlap("tags", F.array(F.lit("http-client"), F.lit("ipc-client")))
+    named = F.transform(F.filter("tags", lambda t: t.startswith("route:") | t.startswith("ipc:")), lambda t: F.concat(F.lit("unmatched "), t))
+    own = F.filter("tags", lambda t: t.isin(*SINK_TAGS))
+    out = nodes.select("id", "tags").join(crosses, "id", "left")
+    lost = F.when(client & F.col("crosses").isNull(), named).otherwise(F.expr("array()").cast("array<string>"))
+    return out.select("id", F.concat(own, lost).alias("sinks")).filter(F.size("sinks") > 0)
+
+
+def _in_order(*keys: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys).orderBy("key"))
+
 
+def _marked(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows of each entry in pre-order, with their number n and whether they repeat a node
+    that is expanded before."""
+    kept_rows = rows.withColumn("n", _in_order("entry")).filter(F.col("n") <= most)
+    return kept_rows.withColumn("repeat", (_in_order("entry", "node") > 1) & F.col("goes_on"))
 
-def traces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entry, step, parent, node, via, flow, depth, repeat, truncated): steps of each trace in pre-order.
 
-    Entries have hops out and none in. Branches that reach neither a sink nor a flow are left out, a node on
-    the way here is not entered again, one expanded before is a `repeat` leaf; at most DEPTH deep and STEPS
-    long. Traces without a flow are left out. Entries are independent: each walks the part of the graph that
-    it reaches, gathered by a frontier of at most DEPTH joins.
+def _walks(nexts: DataFrame, starts: DataFrame) -> DataFrame:
+    """(entry, node, key, path, via, flow, goes_on): the first STEPS + 1 steps from each start, depth first.
+
+    A step's key is the places of its ancestors among their siblings and its own, so that keys in order are
+    the walk in order. Each round marks the steps so far, and makes the next steps anew as the children of
+    those that are no repeats. A step depends only on steps before it, so at least one more step of each
+    walk is final after each round, in practice a level or more; walks that a round leaves as they are, by
+    the sum of their hashes, are done. A group holds one walk, STEPS + 1 rows and their children at most.
     """
-    own = nodes.filter("kind = 'symbol'").select(F.col("id").alias("dst"), F.col("parent").alias("src"), F.lit("calls").alias("kind"))
-    hops = edges.filter("kind in ('calls', 'flow')").join(own, ["src", "dst", "kind"], "left_anti")
-    ends = nodes.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in ("db", "fs", "queue", "process")]))).select("id")
-    alive = ends.unionByName(hops.filter("kind = 'flow'").select(F.col("src").alias("id"))).distinct()
-    alive, calls = cut(alive), cut(hops.select("src", "dst").distinct())
-    front = alive
-    for _ in range(DEPTH):
-        front = cut(calls.join(front.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(alive, "id", "left_anti"))
-        if front.isEmpty():
-            break
-        alive = cut(alive.unionByName(front))
-    live = cut(hops.join(alive.select(F.col("id").alias("dst")), "dst", "left_semi").unionByName(hops.filter("kind = 'flow'")).distinct())
-    front = reach = cut(entries(hops).select(F.col("id").alias("entry"), F.col("id").alias("src")))
-    for _ in range(DEPTH):
-        nxt = live.join(front, "src").select("entry", F.col("dst").alias("src")).distinct()
-        front = cut(nxt.join(reach, ["entry", "src"], "left_anti"))
-        if front.isEmpty():
-            break
-        reach = cut(reach.unionByName(front))
-
-    def walk(pdf):
-        import pandas as pd
-
-        entry, out_of = pdf["entry"].iloc[0], {}
-        for r in pdf.sort_values(["src", "label", "dst"], na_position="first").itertuples():
-            out_of.setdefault(r.src, []).append((r.dst, r.label, r.kind == "flow"))
-        steps, done, cut_off = [], set(), False
-        stack = [(entry, None, False, None, 0, ())]
-        while stack:
-            node, via, flow, parent, depth, path = stack.pop()
-            if len(steps) >= STEPS:
-                cut_off = True
-                break
-            at, nexts = len(steps), out_of.get(node, [])
-            repeat = node in done and bool(nexts)
-            steps.append((entry, at, parent, node, via, flow, depth, repeat))
-            if repeat or not nexts:
-                continue
-            if depth >= DEPTH:
-                cut_off = True
-                continue
-            done.add(node)
-            stack += [(d, l, f, at, depth + 1, (*path, node)) for d, l, f in reversed(nexts) if d not in path and d != node]
-        keep = any(s[5] for s in steps)
-        rows = [(*s, cut_off) for s in steps] if keep else []
-        return pd.DataFrame(rows, columns=["entry", "step", "parent", "node", "via", "flow", "depth", "repeat", "truncated"]).astype({"parent": "Int64"})
-
-    part = reach.join(live, "src").select("entry", "src", "dst", "label", "kind")
-    return part.groupBy("entry").applyInPandas(walk, "entry string, step long, parent long, node string, via string, flow boolean, depth long, repeat boolean, truncated boolean")
+    root = starts.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.expr("array()").cast("array<int>").alias("key"), F.array("id").alias("path"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("flow"), "goes_on")
+    now, done = cut(root.withColumns({"digest": F.lit(0).cast("decimal(38,0)"), "before": F.lit(None).cast("decimal(38,0)")})), []
+    of_entry = Window.partitionBy("entry")
+    for _ in range(STEPS + 2):
+        marked = _marked(now, STEPS + 1)
+        open_ = marked.filter((F.col("n") <= STEPS) & ~F.col("repeat") & (F.size("key") < DEPTH)).select("entry", F.col("node").alias("src"), "key", "path", "digest")
+        steps = open_.join(nexts, "src").filter(~F.array_contains("path", F.col("dst")))
+        steps = steps.select("entry", F.col("dst").alias("node"), F.concat("key", F.array("place")).alias("key"), F.concat("path", F.array("dst")).alias("path"), F.col("label").alias("via"), "flow", "goes_on", F.col("digest").alias("before"))
+        again = now.filter(F.size("key") == 0).select("entry", "node", "key", "path", "via", "flow", "goes_on", F.col("digest").alias("before"))
+        few = again.unionByName(steps).withColumn("n", _in_order("entry")).filter(F.col("n") <= STEPS + 1).drop("n")
+        new = cut(few.withColumn("digest", F.sum(F.xxhash64("key", "node").cast("decimal(20,0)")).over(of_entry)))
+        done.append(new.filter("digest = before").drop("digest", "before"))
+        now = new.filter("digest <> before")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError("walks did not settle")
+
+
+def traces(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(entry, step, parent, node, via, flow, depth, repeat, truncated, name, path, lang, lane, sinks): steps
+    of each trace in pre-order.
+
+    Walks begin at starts (id), or where hops lead out and none in and something is reached. They leave out
+    branches that reach neither a sink nor a flow, do not enter a node again that is on the way here, and
+    end at a `repeat` of a node that the trace has expanded before. Children go by label (null first), id
+    and kind, as edges carry no order of their own. A walk is at most DEPTH deep and STEPS long; one that
+    goes on beyond is `truncated`. via is the label and flow whether the hop is one; lane the package that a
+    step runs in, '' without one; sinks what data rests in there. Traces without a flow are left out, unless
+    whole. lang is null if nodes have none.
+    """
+    g = Graph(nodes, edges)
+    walked = cut(hops(g).select("src", "dst", "kind", "label").distinct())
+    alive = leads_somewhere(g)
+    out_of = walked.select(F.col("src").alias("id"), F.lit(True).alias("goes_on")).distinct()
+    live = walked.join(alive.select(F.col("id").alias("dst")), "dst", "left_semi").filter("kind = 'calls'").unionByName(walked.filter("kind = 'flow'").select("dst", "src", "kind", "label"))
+    # a walk has STEPS steps and skips what is on its way, so children beyond these two bounds are in none
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("label").asc_nulls_first(), "dst", "kind"))
+    ranked = live.withColumn("place", place).filter(F.col("place") <= STEPS + DEPTH + 1)
+    goes_on = lambda df, at: df.join(out_of.withColumnRenamed("id", at), at, "left").withColumn("goes_on", F.col("goes_on").isNotNull())
+    nexts = cut(goes_on(ranked.select("src", "dst", (F.col("kind") == "flow").alias("flow"), "label", "place"), "dst"))
+    first = entries(walked).join(alive, "id", "left_semi") if starts is None else starts.select("id").distinct()
+    found = cut(_marked(_walks(nexts, goes_on(first, "id")), STEPS + 1))
+    deep = (F.size("key") >= DEPTH) & ~F.col("repeat") & F.col("goes_on")
+    of = found.groupBy("entry").agg((F.max("n") > STEPS).alias("long"), F.bool_or(deep & (F.col("n") <= STEPS)).alias("deep"), F.bool_or(F.col("flow") & (F.col("n") <= STEPS)).alias("flows"))
+    steps = found.filter(F.col("n") <= STEPS).join(of if whole else of.filter("flows"), "entry")
+    above = found.select("entry", F.col("key").alias("up"), (F.col("n") - 1).alias("parent"))
+    steps = steps.withColumn("up", F.when(F.size("key") > 0, F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0))))).join(above, ["entry", "up"], "left")
+    lang = F.col("lang") if "lang" in nodes.columns else F.lit(None).cast("string")
+    lanes = lift(g, kept("package")).join(nodes.select(F.col("id").alias("target"), F.col("name").alias("lane")), "target").select("node", "lane")
+    about = nodes.select(F.col("id").alias("node"), "name", "path", lang.alias("lang"))
+    out = steps.drop("path").join(about, "node", "left").join(lanes, "node", "left").join(node_sinks(nodes, walked).withColumnRenamed("id", "node"), "node", "left")
+    long = lambda c: c.cast("long")
+    return out.select(
+        "entry", long(F.col("n") - 1).alias("step"), long(F.col("parent")).alias("parent"), "node", "via", "flow", long(F.size("key")).alias("depth"), "repeat", (F.col("long") | F.col("deep")).alias("truncated"),
+        "name", "path", "lang", F.coalesce("lane", F.lit("")).alias("lane"), F.coalesce("sinks", F.expr("array()").cast("array<string>")).alias("sinks"),
+    )
+
+
+def _first_seen(value: Column) -> Column:
+    """Distinct values of a trace's steps, STEPS at most, in the order of the steps."""
+    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("step", value.alias("v")))))
+    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
 
 
 def summary(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(entry, hops, steps, langs): of each trace, its flows, its steps, its languages as they first appear; the
-    longest first."""
-    own = steps.join(nodes.select(F.col("id").alias("node"), "lang"), "node", "left")
-    pairs = F.array_sort(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("step", "lang"))))
-    out = own.groupBy("entry").agg(F.count_if("flow").alias("hops"), F.count("*").alias("steps"), F.array_distinct(F.transform(pairs, lambda x: x["lang"])).alias("langs"))
-    return out.orderBy(F.desc("hops"), F.desc(F.size("langs")), F.desc("steps"), "entry")
+    """(entry, entry_path, name, hops, steps, langs, lanes, via, sinks, truncated): of each trace its flows,
+    its steps, and languages, lanes, labels of flows and sinks as they first appear. The order is flows,
+    languages, steps, each the most first, then the entry's path."""
+    pairs = F.array_sort(F.collect_list(F.struct("step", "sinks")))
+    out = steps.groupBy("entry").agg(
+        F.count_if("flow").alias("hops"), F.count("*").alias("steps"), _first_seen(F.col("lang")).alias("langs"), _first_seen(F.col("lane")).alias("lanes"),
+        _first_seen(F.when(F.col("flow"), F.col("via"))).alias("via"), F.array_distinct(F.flatten(F.transform(pairs, lambda x: x["sinks"]))).alias("sinks"), F.bool_or("truncated").alias("truncated"),
+    )
+    out = out.join(nodes.select(F.col("id").alias("entry"), F.col("path").alias("entry_path"), "name"), "entry")
+    out = out.select("entry", "entry_path", "name", "hops", "steps", "langs", "lanes", "via", "sinks", "truncated")
+    return out.orderBy(F.desc("hops"), F.desc(F.size("langs")), F.desc("steps"), "entry_path", "entry")

@@ -13,6 +13,7 @@ from graphloom.operators import atlas as A
 from graphloom.operators import graph as G
 from graphloom.operators import lookup as L
 from graphloom.operators import model as M
+from graphloom.operators import traces as R
 from graphloom.plans import oracle
 from graphloom.plans.routes import matched
 from graphloom.sources.projection import event_chain, graph, read
@@ -37,13 +38,19 @@ def _on(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(read(spark, d, table))
 
 
+def _traced(g) -> tuple[DataFrame, DataFrame]:
+    """Nodes, whose first tag stands for a language, and the steps of all traces."""
+    nodes = g.nodes.withColumn("lang", F.get("tags", F.lit(0)))
+    return nodes, R.traces(nodes, g.edges)
+
+
+def _traces_steps(g) -> DataFrame:
+    return _traced(g)[1].withColumn("sinks", F.array_join("sinks", "|"))
+
+
 def _traces_summary(g) -> DataFrame:
-    """Of each entry whose calls reach a flow: distinct steps and hops, by two joins over distinct hops."""
-    h = G.hops(g)
-    ent = G.entries(h)
-    one = h.filter("kind = 'calls'").join(ent, h.src == ent.id, "left_semi").select(F.col("src").alias("entry"), F.col("dst").alias("mid")).distinct()
-    two = one.join(h.filter("kind = 'flow'").select(F.col("src").alias("mid"), F.col("dst").alias("leaf")).distinct(), "mid")
-    return one.groupBy("entry").agg(F.count("*").alias("mids")).join(two.groupBy("entry").agg(F.count("*").alias("hops")), "entry").select("entry", (F.lit(1) + F.col("mids") + F.col("hops")).alias("steps"), "hops")
+    nodes, steps = _traced(g)
+    return R.summary(steps, nodes).withColumns({c: F.array_join(c, "|") for c in ("langs", "lanes", "via", "sinks")})
 
 
 def _cycles(level: str) -> Callable:
@@ -167,7 +174,8 @@ def _capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _traces_order(g) -> DataFrame:
-    return _traces_summary(g).orderBy(F.desc("hops"), F.desc("steps"), "entry").limit(20)
+    nodes, steps = _traced(g)
+    return R.summary(steps, nodes).limit(20).select("entry", "entry_path", "hops", F.size("langs").cast("long").alias("n_langs"), "steps")
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +322,7 @@ def queries() -> dict[str, Query]:
         "sinks": _over(G.sinks),
         "leads_somewhere": _over(G.leads_somewhere),
         "traces_summary": _over(_traces_summary),
+        "traces_steps": _over(_traces_steps),
         "cycles_file": _over(_cycles("file"), home=True),
         "cycles_package": _over(_cycles("package")),
         "path_between_files": _over(lambda g: G.path_between(g.edges, 100_000_001, 1_000_007)),

@@ -45,6 +45,30 @@ HOPS = """hops AS (SELECT * FROM edges e WHERE kind IN ('calls', 'flow') AND NOT
 SINKS = """sinks AS (SELECT id, t AS sink FROM (SELECT id, unnest(tags) AS t FROM nodes) WHERE t IN ('db', 'fs', 'queue', 'process')
   UNION ALL SELECT id, 'unmatched ' || t FROM (SELECT id, unnest(tags) AS t FROM nodes WHERE list_contains(tags, 'http-client') AND id NOT IN (SELECT src FROM edges WHERE kind = 'flow'))
   WHERE starts_with(t, 'route:') OR starts_with(t, 'ipc:'))"""
+#: Traces as one recursion: each row is a step, with the stack of what is left to visit and what has been expanded.
+WALKS = f"""WITH RECURSIVE {NODES}, {EDGES}, {CLOSURE}, {HOPS}, {SINKS},
+walked AS (SELECT DISTINCT src, dst, kind, label FROM hops), goes AS (SELECT DISTINCT src FROM walked),
+alive AS (SELECT id FROM sinks UNION SELECT src FROM walked WHERE kind = 'flow' UNION SELECT h.src FROM walked h JOIN alive ON h.dst = alive.id WHERE h.kind = 'calls'),
+kids AS (SELECT src, list({{'dst': dst, 'flow': kind = 'flow', 'via': label}} ORDER BY label NULLS FIRST, dst, kind) AS kids FROM walked
+  WHERE kind = 'flow' OR dst IN (SELECT id FROM alive) GROUP BY src),
+walk AS (SELECT DISTINCT src AS entry, 0 AS step, NULL::BIGINT AS parent, src AS node, NULL::VARCHAR AS via, false AS flow, 0 AS depth, false AS repeat, [src] AS expanded,
+    list_transform(list_reverse(list_filter(kids.kids, lambda k: k.dst <> src)), lambda k: {{'dst': k.dst, 'flow': k.flow, 'via': k.via, 'parent': 0::BIGINT, 'depth': 1, 'path': [src, k.dst]}}) AS stack
+  FROM kids WHERE src NOT IN (SELECT dst FROM walked) AND src IN (SELECT id FROM alive)
+  UNION ALL SELECT entry, step + 1, top.parent, top.dst, top.via, top.flow, top.depth, top.r, list_append(expanded, top.dst),
+    list_concat(stack[1:len(stack) - 1], CASE WHEN top.r OR top.depth >= 24 OR kids.kids IS NULL THEN [] ELSE
+      list_transform(list_reverse(list_filter(kids.kids, lambda k: NOT list_contains(top.path, k.dst))), lambda k: {{'dst': k.dst, 'flow': k.flow, 'via': k.via, 'parent': (w.step + 1)::BIGINT, 'depth': top.depth + 1, 'path': list_append(top.path, k.dst)}}) END)
+  FROM (SELECT entry, step, expanded, stack, {{'dst': t.dst, 'flow': t.flow, 'via': t.via, 'parent': t.parent, 'depth': t.depth, 'path': t.path, 'r': list_contains(expanded, t.dst) AND t.dst IN (SELECT src FROM goes)}} AS top
+        FROM (SELECT *, stack[len(stack)] AS t FROM walk WHERE len(stack) > 0 AND step < 299)) w LEFT JOIN kids ON kids.src = top.dst),
+ends AS (SELECT entry, bool_or(flow) AS flows, bool_or((step = 299 AND len(stack) > 0) OR (depth >= 24 AND NOT repeat AND node IN (SELECT src FROM goes))) AS truncated FROM walk GROUP BY entry),
+lanes AS (SELECT node, arg_min(ancestor, dist) AS pack FROM closure WHERE ancestor IN (SELECT id FROM nodes WHERE kind = 'package') GROUP BY node),
+rest AS (SELECT id, list(sink) AS sinks FROM sinks GROUP BY id),
+steps AS (SELECT w.entry, w.step::BIGINT AS step, w.parent, w.node, w.via, w.flow, w.depth::BIGINT AS depth, w.repeat, ends.truncated, n.name, n.path, n.tags[1] AS lang, coalesce(p.name, '') AS lane, coalesce(rest.sinks, []) AS sinks
+  FROM walk w JOIN ends ON ends.entry = w.entry AND ends.flows JOIN nodes n ON n.id = w.node LEFT JOIN lanes ON lanes.node = w.node LEFT JOIN nodes p ON p.id = lanes.pack LEFT JOIN rest ON rest.id = w.node),
+firsts AS (SELECT entry, 'langs' AS what, lang AS v, min(step) AS met FROM steps WHERE lang IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT entry, 'lanes', lane, min(step) FROM steps GROUP BY 1, 3
+  UNION ALL SELECT entry, 'via', via, min(step) FROM steps WHERE flow AND via IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT entry, 'sinks', s, min(step) FROM (SELECT entry, step, unnest(sinks) AS s FROM steps) GROUP BY 1, 3),
+told AS (SELECT entry, {", ".join(f"coalesce(string_agg(v, '|' ORDER BY met) FILTER (WHERE what = '{c}'), '') AS {c}" for c in ("langs", "lanes", "via", "sinks"))}, count(*) FILTER (WHERE what = 'langs') AS n_langs FROM firsts GROUP BY entry),
+summary AS (SELECT s.entry, n.path AS entry_path, n.name, count(*) FILTER (WHERE flow) AS hops, count(*) AS steps, langs, lanes, told.via, told.sinks, bool_or(truncated) AS truncated, n_langs
+  FROM steps s JOIN nodes n ON n.id = s.entry JOIN told ON told.entry = s.entry GROUP BY ALL)"""
 ROUTE = r"""CASE WHEN trim({0}) = '' THEN NULL ELSE (SELECT CASE WHEN NOT starts_with(q, '/') THEN NULL ELSE
   coalesce(nullif(regexp_replace(array_to_string(list_transform(string_split(regexp_extract(q, '^([^?#]*)', 1), '/'),
   lambda x: CASE WHEN regexp_matches(trim(x), '^[:*$].*|^\{{.*\}}$|^<.*>$|^[0-9]+$|.*\*.*') THEN '*' ELSE trim(x) END), '/'), '/+$', ''), ''), '/') END
@@ -143,10 +167,9 @@ def oracles() -> dict[str, str]:
         "entries": f"WITH {NODES}, {EDGES}, {HOPS} SELECT DISTINCT src AS id FROM hops WHERE src NOT IN (SELECT dst FROM hops)",
         "sinks": f"WITH {NODES}, {EDGES}, {SINKS} SELECT * FROM sinks",
         "leads_somewhere": f"WITH RECURSIVE {NODES}, {EDGES}, {HOPS}, {SINKS}, r AS (SELECT id FROM sinks UNION SELECT src FROM edges WHERE kind = 'flow' UNION SELECT h.src FROM hops h JOIN r ON h.dst = r.id WHERE h.kind = 'calls') SELECT DISTINCT id FROM r",
-        "traces_summary": f"""WITH {NODES}, {EDGES}, {HOPS}, ent AS (SELECT DISTINCT src AS id FROM hops WHERE src NOT IN (SELECT dst FROM hops)),
-one AS (SELECT DISTINCT h.src AS entry, h.dst AS mid FROM hops h JOIN ent ON h.src = ent.id WHERE h.kind = 'calls'),
-two AS (SELECT DISTINCT entry, mid, f.dst AS leaf FROM one JOIN hops f ON f.src = mid AND f.kind = 'flow')
-SELECT entry, (1 + (SELECT count(*) FROM one o WHERE o.entry = two.entry) + count(*))::BIGINT AS steps, count(*)::BIGINT AS hops FROM two GROUP BY entry""",
+        "traces_steps": f"{WALKS} SELECT * REPLACE (array_to_string(sinks, '|') AS sinks) FROM steps",
+        "traces_summary": f"{WALKS} SELECT * EXCLUDE (n_langs) FROM summary",
+        "traces_order": f"{WALKS} SELECT entry, entry_path, hops, n_langs, steps FROM summary ORDER BY hops DESC, n_langs DESC, steps DESC, entry_path, entry LIMIT 20",
         "routes_normalized": f"SELECT page_id, url, {ROUTE.format('url')} AS route FROM pages",
         "cycles_file": f"""{HOME_BASE}, {lifted("kind = 'file'")}, e AS (SELECT DISTINCT src, dst FROM view), reach AS (SELECT src, dst FROM e UNION SELECT reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src),
 c AS (SELECT a.src AS id, least(min(b.src), a.src) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
@@ -208,8 +231,6 @@ SELECT a.route AS client, b.route AS server FROM s a, s b WHERE a.route <> b.rou
   LEFT JOIN nation n ON e.user_id BETWEEN n.n_nationkey * 6 AND n.n_nationkey * 6 + (n.n_nationkey % 5) * 10) WHERE r = 1""",
         "externals_named": "SELECT o_orderstatus AS kind, arg_min(o_orderpriority, o_orderkey) AS name, count(*) AS n FROM orders GROUP BY 1",
     }
-    summary = out["traces_summary"]
-    out["traces_order"] = f"SELECT * FROM ({summary}) ORDER BY hops DESC, steps DESC, entry LIMIT 20"
     out["journey_merge"] = f"WITH {MESSAGES}, " + PROJECTED.replace(" AND lag(kind) OVER w = kind", "").replace(" AND src <> dst", "") + " SELECT journey, src, dst, min(place)::BIGINT AS n, count(*) AS merged FROM i GROUP BY journey, island, src, dst"
     out["view_labels_capped"] = "SELECT s_nationkey, l_linestatus, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linenumber))[1:6], '|') AS labels, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
     out["tag_classify_calls"] = classified()
