@@ -444,7 +444,7 @@ def trace_messages(steps: DataFrame, nodes: DataFrame, m: Model) -> DataFrame:
     each crossing and each change of component once, and each external system where a component's data rests."""
     at = nodes.select(c("id").alias("node"), "name", "path", F.array_intersect("tags", F.array(*[F.lit(t) for t in SINK_TAGS])).alias("sinks"))
     at = at.withColumn("file", F.substring_index("path", "#", 1)).join(m.placed.select(c("path").alias("file"), "component"), "file").drop("file")
-    here = steps.join(at, "node")
+    here = steps.select("entry", "step", "parent", "node", "via", "flow").join(at, "node")
     above = here.select("entry", c("step").alias("parent"), c("component").alias("src"), c("path").alias("from_path"))
     moves = here.filter("parent is not null").join(above, ["entry", "parent"])
     crossing = F.coalesce(c("flow"), F.lit(False))
