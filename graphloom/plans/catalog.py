@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import rules
 from graphloom.functions import text as T
 from graphloom.operators import atlas as A
+from graphloom.operators import discovery as D
 from graphloom.operators import graph as G
 from graphloom.operators import lookup as L
 from graphloom.operators import model as M
@@ -53,6 +54,42 @@ def _traces_summary(g) -> DataFrame:
     return R.summary(steps, nodes).withColumns({c: F.array_join(c, "|") for c in ("langs", "lanes", "via", "sinks")})
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Nations are containers, suppliers their parts, segments people, brands externals, regions journeys; names that orders make up."""
+    nation, supplier, customer, part, region, orders = (read(spark, d, t) for t in ("nation", "supplier", "customer", "part", "region", "orders"))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    n, s, r = F.col("n_nationkey"), F.col("s_suppkey"), F.col("r_regionkey")
+    known = D.registry(
+        nation.select(text("c:", n).alias("id"), text("pack ", n % 5).alias("package"), F.col("n_name").alias("name"), n.alias("ord")),
+        supplier.select(text("c:", F.col("s_nationkey"), "/", s).alias("id"), text("c:", F.col("s_nationkey")).alias("container"), text("Part ", s % 40).alias("name"), s.alias("ord")),
+        customer.groupBy(F.col("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("ord")).select(text("p:", F.lower("name")).alias("id"), "name", "ord"),
+        part.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("ord")).select(text("x:", F.lower("name")).alias("id"), "name", "ord"),
+        region.select(text("j:", r).alias("id"), F.when(r % 2 == 0, F.col("r_name")).otherwise(text("Part ", r)).alias("name"), r.alias("ord")),
+    )
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(k % 5 == 0, text("Part ", c % 50)).when(k % 5 == 1, text(" nation_", c % 30, " ")).when(k % 5 == 2, text("NATION_", c % 25, " / part ", c % 40)).when(k % 5 == 3, text("PACK ", c % 7)).otherwise(text("brand#", c % 60))
+    return D.named(orders.select(k.alias("query"), name.alias("name"), F.when(k % 4 == 0, text("NATION_", c % 25)).alias("within")), known)
+
+
+def _starts(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    own = F.concat_ws("#", "c_name", "o_orderkey")
+    start = F.when(k % 6 == 0, F.concat(F.lit("`"), own, F.lit("` "))).when(k % 6 == 1, F.col("c_name")).when(k % 6 == 2, F.concat(F.lit("GET /NATION_"), (c % 30).cast("string")))
+    start = start.when(k % 6 == 3, F.concat(F.lit("/"), F.lower("c_mktsegment"))).when(k % 6 == 4, F.concat(F.lit("Supplier#"), F.lpad((c % 120).cast("string"), 9, "0")))
+    return D.starts(orders.select(k.alias("query"), start.alias("start"), F.when(k % 10 == 0, own).otherwise("").alias("hint")), g.nodes, g.edges)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as answers; as drafts, those in no third place, a turn later."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    at = F.concat("role", F.lit("/"), (F.col("turn") % 2).cast("string"))
+    said = read(spark, d, "conversations").select(F.col("conv_id").alias("journey"), F.col("turn").alias("ord"), at.alias("src"), F.coalesce(F.lead("role").over(w), F.lit("end")).alias("dst"), F.when(F.contains("text", F.lit("a")), "call").otherwise("flow").alias("kind"))
+    drafts = said.filter("ord % 3 > 0").withColumn("src", F.when(F.col("ord") % 4 == 0, F.lit("user/0")).otherwise(F.col("src")))
+    return D.merged(said, drafts).select("journey", "ord", "draft")
+
+
 def _cycles(level: str) -> Callable:
     return lambda g: G.cycles(G.view(g, level))
 
@@ -323,6 +360,9 @@ def queries() -> dict[str, Query]:
         "leads_somewhere": _over(G.leads_somewhere),
         "traces_summary": _over(_traces_summary),
         "traces_steps": _over(_traces_steps),
+        "names_registered": _names,
+        "starts_resolved": _starts,
+        "drafts_merged": _merged,
         "cycles_file": _over(_cycles("file"), home=True),
         "cycles_package": _over(_cycles("package")),
         "path_between_files": _over(lambda g: G.path_between(g.edges, 100_000_001, 1_000_007)),

@@ -253,7 +253,49 @@ SELECT callee, lang, coalesce(first, '') AS first, class, CASE WHEN class = 'non
   WHEN class = 'queue' THEN 'topic:' || first END], lambda x: x IS NOT NULL), '|') END AS tags FROM k"""
 
 
+#: A journey's answers one after the other, with the list of drafts that are taken.
+MERGED = """WITH RECURSIVE said AS (SELECT conv_id AS journey, turn AS ord, role || '/' || (turn % 2) AS src, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') AS dst,
+  CASE WHEN contains(text, 'a') THEN 'call' ELSE 'flow' END AS kind FROM conversations),
+grained AS (SELECT *, CASE WHEN contains(src, '/') THEN regexp_replace(src, '/[^/]*$', '') ELSE src END AS a FROM said),
+drafts AS (SELECT journey, list({'ord': ord, 'src': s, 'a': regexp_replace(s, '/[^/]*$', ''), 'dst': dst, 'kind': kind} ORDER BY ord) AS drafts
+  FROM (SELECT *, CASE WHEN ord % 4 = 0 THEN 'user/0' ELSE src END AS s FROM said WHERE ord % 3 > 0) GROUP BY journey),
+n AS (SELECT *, row_number() OVER (PARTITION BY journey ORDER BY ord) AS n FROM grained),
+walk AS (SELECT journey, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::BIGINT AS draft, []::BIGINT[] AS used FROM (SELECT DISTINCT journey FROM said)
+  UNION ALL SELECT journey, n, ord, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (
+    SELECT n.journey, n.n, n.ord, walk.used, coalesce(list_filter(d.drafts, lambda x: NOT list_contains(walk.used, x.ord) AND x.src = n.src AND x.dst = n.dst AND x.kind = n.kind)[1].ord,
+      list_filter(d.drafts, lambda x: NOT list_contains(walk.used, x.ord) AND x.a = n.a AND x.dst = n.dst AND x.kind = n.kind)[1].ord)::BIGINT AS hit
+    FROM walk JOIN n ON n.journey = walk.journey AND n.n = walk.n + 1 LEFT JOIN drafts d ON d.journey = n.journey))
+SELECT journey, ord, draft FROM walk WHERE ord IS NOT NULL"""
+NAMES = """WITH c AS (SELECT 'c:' || n_nationkey AS id, 'pack ' || (n_nationkey % 5) AS package, n_name AS name, n_nationkey AS ord FROM nation),
+k AS (SELECT 'c:' || s_nationkey || '/' || s_suppkey AS id, 'Part ' || (s_suppkey % 40) AS name, s_suppkey AS b, c.ord AS a, c.name AS above FROM supplier JOIN c ON c.id = 'c:' || s_nationkey),
+puts AS (SELECT id, unnest([id, package, name]) AS key, 0 AS s, ord AS a, -1 AS b, unnest([0, 1, 2]) AS i FROM c
+  UNION ALL SELECT id, unnest([id, above || '/' || name, above || ' / ' || name]), 0, a, b, unnest([0, 1, 2]) FROM k UNION ALL SELECT id, name, 1, a, b, 0 FROM k
+  UNION ALL SELECT 'p:' || lower(c_mktsegment), unnest(['p:' || lower(c_mktsegment), c_mktsegment]), 2, min(c_custkey), -1, unnest([0, 1]) FROM customer GROUP BY c_mktsegment
+  UNION ALL SELECT 'x:' || lower(p_brand), unnest(['x:' || lower(p_brand), p_brand]), 3, min(p_partkey), -1, unnest([0, 1]) FROM part GROUP BY p_brand
+  UNION ALL SELECT 'j:' || r_regionkey, unnest(['j:' || r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE 'Part ' || r_regionkey END]), 4, r_regionkey, -1, unnest([0, 1]) FROM region),
+known AS (SELECT lower(trim(key)) AS key, first(id ORDER BY s, a, b, i, id) AS id, count(DISTINCT id) AS ids FROM puts GROUP BY 1),
+asked AS (SELECT o_orderkey AS query, CASE o_orderkey % 5 WHEN 0 THEN 'Part ' || (o_custkey % 50) WHEN 1 THEN ' nation_' || (o_custkey % 30) || ' ' WHEN 2 THEN 'NATION_' || (o_custkey % 25) || ' / part ' || (o_custkey % 40)
+  WHEN 3 THEN 'PACK ' || (o_custkey % 7) ELSE 'brand#' || (o_custkey % 60) END AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'NATION_' || (o_custkey % 25) END AS within FROM orders)
+SELECT query, name, within, coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NOT NULL THEN x.ids ELSE coalesce(y.ids, 0) END AS ids
+FROM asked LEFT JOIN known x ON x.key = lower(within || '/' || name) LEFT JOIN known y ON y.key = lower(trim(name))"""
+STARTS = f"""{WALKS}, asked AS (SELECT o_orderkey AS query, CASE o_orderkey % 6 WHEN 0 THEN c_name || '#' || o_orderkey WHEN 1 THEN c_name WHEN 2 THEN 'GET /NATION_' || (o_custkey % 30) WHEN 3 THEN '/' || lower(c_mktsegment)
+  WHEN 4 THEN 'Supplier#' || lpad(CAST(o_custkey % 120 AS VARCHAR), 9, '0') ELSE '' END AS start, CASE WHEN o_orderkey % 10 = 0 THEN c_name || '#' || o_orderkey ELSE '' END AS hint FROM orders JOIN customer ON o_custkey = c_custkey),
+flowing AS (SELECT src AS id FROM edges WHERE kind = 'flow' UNION SELECT dst FROM edges WHERE kind = 'flow'),
+traced AS (SELECT entry AS id FROM summary UNION SELECT src FROM edges WHERE kind = 'flow'),
+refs AS (SELECT label AS key, src AS id, 0 AS side FROM edges WHERE kind = 'flow' UNION SELECT label, dst, 1 FROM edges WHERE kind = 'flow'
+  UNION SELECT 'http ' || t[7:], id, 0 FROM (SELECT id, unnest(tags) AS t FROM nodes WHERE list_contains(tags, 'http-client') AND id NOT IN (SELECT id FROM flowing)) WHERE starts_with(t, 'route:')),
+contracts AS (SELECT key, first(id ORDER BY side, id) FILTER (WHERE id IN (SELECT id FROM traced)) AS followed, coalesce(min(id) FILTER (WHERE side = 1), min(id) FILTER (WHERE side = 0)) AS named FROM refs GROUP BY key),
+one AS (SELECT path, min(id) AS id FROM nodes GROUP BY path)
+SELECT query, CASE WHEN h.entry IS NOT NULL THEN hint WHEN s.entry IS NOT NULL THEN start WHEN n.id IS NOT NULL THEN start WHEN k.key IS NOT NULL THEN p.path ELSE '' END AS entry,
+  CASE WHEN h.entry IS NOT NULL THEN h.entry WHEN s.entry IS NOT NULL THEN s.entry WHEN n.id IS NOT NULL THEN t.id WHEN k.key IS NOT NULL THEN k.followed END AS trace,
+  CASE WHEN h.entry IS NOT NULL OR s.entry IS NOT NULL THEN 'trace' WHEN n.id IS NOT NULL THEN CASE WHEN t.id IS NOT NULL THEN 'trace' ELSE 'symbol' END WHEN k.key IS NOT NULL THEN 'endpoint' ELSE 'none' END AS how
+FROM asked LEFT JOIN summary h ON h.entry_path = hint LEFT JOIN summary s ON s.entry_path = start LEFT JOIN one n ON n.path = start AND contains(start, '#') LEFT JOIN traced t ON t.id = n.id
+  LEFT JOIN contracts k ON k.key = CASE WHEN starts_with(start, 'GET ') THEN 'http ' || start[5:] WHEN starts_with(start, '/') THEN 'http ' || start END LEFT JOIN nodes p ON p.id = coalesce(k.followed, k.named)"""
+
 LOOKUPS = {
+    "drafts_merged": MERGED,
+    "names_registered": NAMES,
+    "starts_resolved": STARTS,
     "nodes_resolved": BASE + r""", q AS (SELECT c_name AS query FROM customer WHERE c_custkey % 20 = 0 UNION SELECT right(c_name, 2) FROM customer UNION SELECT n_name FROM nation
   UNION SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT '#' || o_orderkey FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 50 = 1),
 hit AS (SELECT query, id, 0 AS rule FROM q JOIN nodes ON id = TRY_CAST(query AS BIGINT) WHERE regexp_full_match(query, '[0-9]+')
