@@ -19,6 +19,7 @@ CALLS = {
     "queue": r"(?i)^((producer|consumer|channel|ch|kafka|broker|queue|bus|nats|nc|js|sqs|pubsub|topic|subscriber|publisher|redis|rdb|client)\.(publish|subscribe|send|send_message|sendMessage|consume|produce|emit|basic_publish|basic_consume|Publish|Subscribe|SendMessage|ReceiveMessage|xadd|xread|lpush|rpush|brpop|blpop)|(celery|task|job)\.(delay|apply_async|enqueue)|\w+\.delay|\w+\.apply_async)$",
     "process": r"^((std::process::)?Command::new|tokio::process::Command::new|subprocess\.(run|Popen|call|check_output|check_call)|os\.system|exec\.Command|exec\.CommandContext|(child_process\.)?(spawn|exec|execSync|spawnSync|execFile|fork))$",
 }
+# How decorators and attributes mark routes and commands.
 ROUTE_MARK = r"(?i)(?:^|[\[.@])(?:get|post|put|patch|delete|head|options|route|api_route|websocket|all)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]"
 COMMAND_MARK = r"tauri::command|^command\b|#\[command"
 

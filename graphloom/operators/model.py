@@ -38,6 +38,10 @@ STORES = {
     "queue": ("queue", "Queue", "REDIS|QUEUE|BROKER|AMQP|KAFKA", "puts work on", "queue", "Work handed off to be done later."),
     "filesystem": ("fs", "File system", None, "reads and writes files on", "", "Files on the machine."),
 }
+# What is said of a container without files, of files that none described, and of a container that was added.
+NO_FILES = ("The `", "` package has no source files of its own.")
+NOT_DESCRIBED = " files the agents did not describe."
+ADDED = ("Added container `", "` from the engine: the agents left it out.")
 OUTSIDE, OUTSIDE_BLURB, OTHER_BLURB = "Outside HTTP API", "An HTTP API nothing in this repository serves.", "Outside this repository."
 USED = ("web", "desktop", "cli")
 
@@ -136,7 +140,7 @@ def containers(f: Facts) -> DataFrame:
     phrases = F.array_compact(F.array(*[F.when(t(k), v) for k, v in BOUNDARY_PHRASES.items()]))
     where = F.when(c("dir") == "", "the repository root").otherwise(c("dir"))
     told = F.concat(c("files").cast("string"), F.when(c("files") == 1, " file").otherwise(" files"), F.lit(" of "), F.when(first == "", "code").otherwise(first), F.lit(" in `"), where, F.lit("`"), F.when(F.size(phrases) > 0, F.concat(F.lit("; "), F.array_join(phrases, ", "))).otherwise(""), F.lit("."))
-    empty = F.concat(F.lit("The `"), "package", F.lit("` package has no source files of its own."))
+    empty = F.concat(F.lit(NO_FILES[0]), "package", F.lit(NO_FILES[1]))
     technology = F.array_join(F.concat(F.when(first == "", F.array().cast("array<string>")).otherwise(F.array(first)), F.coalesce("deps", F.array().cast("array<string>"))), ", ")
     out = p.select(container_id(c("package")).alias("id"), "package", title_case(c("package")).alias("name"), kind.alias("kind"), F.coalesce("language", F.lit("")).alias("language"), technology.alias("technology"), F.when(c("files").isNull(), empty).otherwise(told).alias("description"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("loc", F.lit(0)).alias("loc"))
     return out.withColumn("hidden", (c("kind") == "tooling") | (c("loc") == 0))
@@ -306,11 +310,11 @@ def checked_containers(f: Facts, proposed: DataFrame) -> tuple[DataFrame, DataFr
     first = first_per(proposed, ["package"], c("ord")).select("package", c("name").alias("said"), c("kind").alias("as_kind"), c("description").alias("told"), F.lit(True).alias("given"))
     out = own.join(first, "package", "left")
     kind = F.coalesce("as_kind", "kind")
-    left_out = F.concat(c("files").cast("string"), F.lit(" files the agents did not describe."))
+    left_out = F.concat(c("files").cast("string"), F.lit(NOT_DESCRIBED))
     shown = out.select("id", "package", F.coalesce("said", "name").alias("name"), kind.alias("kind"), "language", "technology", F.when(c("given"), c("told")).otherwise(left_out).alias("description"), "files", "loc", ((kind == "tooling") | (c("files") == 0)).alias("hidden"))
     again = proposed.withColumn("n", F.row_number().over(Window.partitionBy("package").orderBy("ord"))).join(own.select("package", F.lit(True).alias("real")), "package", "left")
     notes = again.filter("n > 1 or real is null").select(c("name").alias("about"), F.concat(F.lit("Dropped container `"), "name", F.lit("`: no package `"), "package", F.lit("` in the scan.")).alias("what"))
-    added = out.filter("given is null and files > 0").select(c("package").alias("about"), F.concat(F.lit("Added container `"), "package", F.lit("` from the engine: the agents left it out.")).alias("what"))
+    added = out.filter("given is null and files > 0").select(c("package").alias("about"), F.concat(F.lit(ADDED[0]), "package", F.lit(ADDED[1])).alias("what"))
     return shown, notes.unionByName(added)
 
 
