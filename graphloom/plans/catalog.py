@@ -18,7 +18,7 @@ from graphloom.operators import traces as R
 from graphloom.plans import oracle
 from graphloom.plans.routes import matched
 from graphloom.sources.projection import event_chain, graph, read
-from graphloom.streaming import telemetry
+from graphloom.streaming import progress, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOCUS, SUPPLIER, ORDER = 100, 10_003, 100_000_005
@@ -90,6 +90,35 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     return D.merged(said, drafts).select("journey", "ord", "draft")
 
 
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of runs (a user each), some of them broken, read as progress."""
+    c, i = F.col, F.col("event_id")
+    made = lambda event, **f: F.to_json(F.struct(F.lit(event).alias("event"), *[v.alias(k) for k, v in f.items()]))
+    role, target, some = c("event_type").alias("role"), F.when(i % 3 > 0, c("user_id").cast("string")), F.array(F.struct(c("event_type").alias("name")))
+    thing = F.struct(c("user_id").alias("id"))
+    kinds = [
+        made("started", model=role, containers=c("user_id"), journeys=c("user_id") % 7, scout=c("value") > 50), made("stage", stage=role), made("proposed", flows=some),
+        made("survey_done", system=thing, people=some, externals=F.array(), containers=some), made("container_done", container=thing), made("journey_done", journey=thing), made("verified", atlas=thing),
+        made("agent_done", role=role, target=target, ok=c("value") <= 100, cost_usd=c("value"), secs=c("user_id").cast("double"), error=F.when(c("value") > 100, c("props"))),
+        *[made("agent_activity", role=role, target=target, kind=F.lit("reading"), path=F.concat(F.lit("src/"), c("event_type")))] * 4,
+        made("agent_activity", role=role, target=target, kind=F.lit("searching"), query=c("props")), made("agent_started", role=role, target=target, name=F.concat(F.lit("the "), role)),
+        made("lost"), F.when(i % 32 == 15, F.lit('{"event": "stage", ')).otherwise(made("stage", stage=F.lit(None).cast("string"))),
+    ]
+    line = F.lit(None).cast("string")
+    for n, kind in enumerate(kinds):
+        line = F.when(i % 16 == n, kind).otherwise(line)
+    return progress.events(read(spark, d, "events").select(i.alias("seq"), c("ts").cast("timestamp").alias("ts"), F.concat(F.lit("r"), (c("user_id") % 50).cast("string")).alias("run"), line.alias("value")))
+
+
+def _progress_events(spark: SparkSession, d: str) -> DataFrame:
+    inner = F.coalesce(*[F.try_variant_get("body", f"$.{p}", "string") for p in ("flows[0].name", "containers[0].name", "container.id", "journey.id", "atlas.id")])
+    return _progress(spark, d).select("seq", "event", "model", "containers", "journeys", "scout", "stage", "role", "target", "name", "kind", "path", "query", "ok", "cost_usd", "secs", "error", inner.alias("inner"), "problem", "raw")
+
+
+def _agents_progress(spark: SparkSession, d: str) -> DataFrame:
+    return progress.agents(_progress(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp"), 10 * 86_400)
+
+
 def _cycles(level: str) -> Callable:
     return lambda g: G.cycles(G.view(g, level))
 
@@ -360,6 +389,8 @@ def queries() -> dict[str, Query]:
         "leads_somewhere": _over(G.leads_somewhere),
         "traces_summary": _over(_traces_summary),
         "traces_steps": _over(_traces_steps),
+        "progress_events": _progress_events,
+        "agents_progress": _agents_progress,
         "names_registered": _names,
         "starts_resolved": _starts,
         "drafts_merged": _merged,

@@ -25,6 +25,9 @@ HOME = f"""edges AS (SELECT 100000000 + l_orderkey AS src, 10000 + l_suppkey AS
 CLOSURE = """closure AS (SELECT id AS node, id AS ancestor, 0::BIGINT AS dist FROM nodes
   UNION ALL SELECT c.node, n.parent, c.dist + 1 FROM closure c JOIN nodes n ON c.ancestor = n.id WHERE n.parent IS NOT NULL)"""
 BASE = f"WITH RECURSIVE {NODES}, {EDGES}, {CLOSURE}"
+PROGRESS = """said AS (SELECT event_id AS seq, ts, 'r' || user_id % 50 AS run, event_id % 16 AS k, event_type, user_id, value, props,
+    CASE WHEN event_id % 16 BETWEEN 7 AND 13 THEN event_type END AS role, CASE WHEN event_id % 16 BETWEEN 7 AND 13 AND event_id % 3 > 0 THEN user_id::VARCHAR END AS target,
+    CASE WHEN event_id % 16 BETWEEN 8 AND 11 THEN 'reading' WHEN event_id % 16 = 12 THEN 'searching' END AS kind FROM events)"""
 HOME_BASE = f"WITH RECURSIVE {NODES}, {HOME}, {CLOSURE}"
 
 
@@ -194,6 +197,21 @@ SELECT d::BIGINT AS pos, id FROM back""",
   WHERE seq > 500 AND level IN ('error', 'warn', 'info') AND contains(lower(message), '"k": 7') ORDER BY seq DESC LIMIT 50""",
         "ring_buffer": "SELECT event_id AS seq, event_type AS level FROM events ORDER BY seq DESC LIMIT 5000",
         "fps_tumbling": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS frames FROM events GROUP BY 1",
+        "progress_events": f"""WITH {PROGRESS} SELECT seq, (['started', 'stage', 'proposed', 'survey_done', 'container_done', 'journey_done', 'verified', 'agent_done', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_started', NULL, NULL])[k + 1] AS event,
+          CASE k WHEN 0 THEN event_type END AS model, CASE k WHEN 0 THEN user_id END AS containers, CASE k WHEN 0 THEN user_id % 7 END AS journeys, CASE k WHEN 0 THEN value > 50 END AS scout, CASE k WHEN 1 THEN event_type END AS stage, role, target,
+          CASE k WHEN 13 THEN 'the ' || event_type END AS name, kind, CASE kind WHEN 'reading' THEN 'src/' || event_type END AS path, CASE kind WHEN 'searching' THEN props END AS query,
+          CASE k WHEN 7 THEN value <= 100 END AS ok, CASE k WHEN 7 THEN value END AS cost_usd, CASE k WHEN 7 THEN user_id::DOUBLE END AS secs, CASE WHEN k = 7 AND value > 100 THEN props END AS error,
+          CASE WHEN k IN (2, 3) THEN event_type WHEN k IN (4, 5, 6) THEN user_id::VARCHAR END AS inner,
+          CASE WHEN k = 14 THEN 'unknown event lost' WHEN seq % 32 = 15 THEN 'not JSON' WHEN k = 15 THEN 'stage without stage' END AS problem,
+          CASE WHEN k = 14 THEN '{{"event":"lost"}}' WHEN seq % 32 = 15 THEN '{{"event": "stage", ' WHEN k = 15 THEN '{{"event":"stage"}}' END AS raw FROM said""",
+        "agents_progress": f"""WITH {PROGRESS}, moves AS (SELECT *, coalesce(target, '') AS whom, floor(epoch(ts))::BIGINT AS second FROM said WHERE role IS NOT NULL AND ts < TIMESTAMP '2024-01-20'),
+          timed AS (SELECT *, min(second) OVER (PARTITION BY run, role, whom) + 864000 AS deadline FROM moves),
+          ends AS (SELECT run, role, whom, value, user_id, props FROM timed WHERE k = 7 AND second < deadline QUALIFY row_number() OVER (PARTITION BY run, role, whom ORDER BY ts, seq) = 1),
+          states AS (SELECT run, role, whom, deadline, max(CASE WHEN k = 13 THEN 'the ' || role END) AS name, count(*) FILTER (WHERE kind = 'reading') AS reads,
+            arg_max(CASE kind WHEN 'reading' THEN 'src/' || role ELSE 'searching ' || props END, (ts, seq)) FILTER (WHERE kind IS NOT NULL) AS last FROM timed WHERE second < deadline GROUP BY ALL),
+          told AS (SELECT s.*, e.value, e.user_id, e.props, CASE WHEN e.value <= 100 THEN 'done' WHEN e.value > 100 THEN 'failed' WHEN epoch(TIMESTAMP '2024-01-20') >= deadline THEN 'timed out' ELSE 'running' END AS status FROM states s LEFT JOIN ends e USING (run, role, whom))
+          SELECT run, role, whom AS target, name, status, reads, CASE status WHEN 'running' THEN last END AS current, coalesce(value, 0.0) AS cost_usd, coalesce(user_id::DOUBLE, 0.0) AS secs,
+          CASE status WHEN 'failed' THEN props WHEN 'timed out' THEN 'agent took longer than 864000s and was stopped' END AS error FROM told""",
         "reducer_by_user": "SELECT event_type AS role, user_id AS target, count(*) FILTER (WHERE value > 10 AND value <= 100) AS reads, bool_or(value > 100) AS done, round(sum(value), 4) AS cost, arg_max(props, event_id) AS last_path FROM events GROUP BY 1, 2",
         "event_chain_runs": f"WITH {CHAIN} SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE next_type <> event_type) AS hops, bool_or(event_type IN ('purchase', 'error')) AS sinks FROM chain GROUP BY user_id",
         "journey_project_containers": f"WITH {MESSAGES}, {PROJECTED} SELECT journey, src, dst, kind, min(place)::BIGINT AS n, count(*) AS merged FROM i GROUP BY journey, island, src, dst, kind",
