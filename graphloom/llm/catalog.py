@@ -42,6 +42,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_media.features(tiff_media.store(_table(spark, sf_dir, "documents")))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all stored texts, with digests in place of their samples."""
+    pages = tiff_media.read_pages(tiff_media.store(_table(spark, sf_dir, "documents")))
+    return pages.withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), Codec.load())
 
@@ -82,7 +88,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_chat_formatting, op2_benchmark_decontamination, op3_substring_dedup, op4_media_columns, op5_sentencepiece,
+        op1_chat_formatting, op2_benchmark_decontamination, op3_substring_dedup, op4_media_columns, media_pages, op5_sentencepiece,
         op6_license_scans, op7_line_dedup, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join, op11_vector_codes,
         op12_host_rules, op13_fill_middle,
     )

@@ -32,6 +32,7 @@ NAMES = {RAW: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PA
 MOST_PIXELS = 1 << 28
 ROW = 64  # samples in a row of a text's image
 PAGE_ROWS, STRIP_ROWS = 1024, 256
+TILE = (16, ROW // 2)  # rows and samples of a tile of a text's page
 
 
 class Bad(ValueError):
@@ -261,10 +262,13 @@ class Reader:
         return Page(index, out, NAMES.get(scheme, str(scheme)), tiled, predictor)
 
 
-def write(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int = 2, tile: tuple[int, int] | None = None, rows: int = STRIP_ROWS, order: str = "<") -> bytes:
-    """A file of these pages (height x width, or height x width x samples; 8 or 16 bits)."""
+def write(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int = 2, tile: tuple[int, int] | None = None, rows: int = STRIP_ROWS, order: str = "<", forms: list[tuple] | None = None) -> bytes:
+    """A file of these pages (height x width, or height x width x samples; 8 or 16 bits), all in one form or each
+    in its own of `forms` (scheme, predictor, tile)."""
     parts, link, size = [b"II*\0" if order == "<" else b"MM\0*", b""], 1, 8
-    for pixels in pages:
+    for n, pixels in enumerate(pages):
+        if forms:
+            scheme, predictor, tile = forms[n]
         pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
         high, wide, samples = pixels.shape
         kind = pixels.dtype.newbyteorder(order)
@@ -303,12 +307,21 @@ def write(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int = 2, ti
     return b"".join(parts)
 
 
+def form_of(page: np.ndarray) -> tuple[int, int, tuple[int, int] | None]:
+    """Scheme, predictor and tile of a text's page, by the CRC-32 of its samples: a quarter of the pages each is
+    stored with LZW and PackBits, half of them with deflate; half of each as they are and half as differences,
+    and of these half in strips and half in tiles."""
+    h = zlib.crc32(page.tobytes())
+    return (LZW, PACKBITS, DEFLATE, DEFLATE)[h & 3], 1 + (h >> 2 & 1), TILE if h >> 3 & 1 else None
+
+
 def from_text(raw: bytes) -> bytes:
     """A text as a file: bytes 0 up to a positive multiple of ROW, one 8-bit sample a byte, pages of
-    PAGE_ROWS rows. Equal texts give equal files."""
+    PAGE_ROWS rows, each in its form (form_of). Equal texts give equal files."""
     padded = raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW))
     grid = np.frombuffer(padded, np.uint8).reshape(-1, ROW)
-    return write([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)])
+    pages = [grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)]
+    return write(pages, forms=[form_of(p) for p in pages])
 
 
 def read_pages(media: DataFrame) -> DataFrame:
@@ -359,6 +372,10 @@ def features(stored: DataFrame) -> DataFrame:
     """Of each file of stored (doc_id, n_bytes, media), read back page by page: payload_bytes,
     payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature and n_pages.
 
+    A null text is an empty one, and a null n_bytes stays null; files that this module has not stored may be
+    read as well, if their pages are of one width; a page that cannot be read is an error of the job.
+    Repeated rows give repeated rows, other columns are not read.
+
     feature is "<pages>x<width>x<rows>:<mean sample, 1/1000>:<64-bit mean hash>": each bit tells whether
     the mean of one of 8 x 8 areas of all rows is above the whole mean.
     """

@@ -90,6 +90,20 @@ def test_texts_come_back(spark):
     assert b"".join(bytes(p.pixels) for p in pages)[:300000] == texts[6].encode()
 
 
+def test_texts_take_every_form(spark):
+    """All schemes, with both predictors, in strips and tiles, each by the samples of its page; the pages give the texts."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["ab", "the", "xyzzy", "é"]) for _ in range(r.choice([3, 30, 3000, 40000]))) for _ in range(60)]
+    rows = T.read_pages(T.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id", "page").collect()
+    assert {(x.compression, x.predictor, x.tiled) for x in rows} == {(c, p, t) for c in ("lzw", "packbits", "deflate") for p in (1, 2) for t in (False, True)}
+    for d, text in enumerate(texts):
+        pages = [x for x in rows if x.doc_id == d]
+        assert b"".join(bytes(x.pixels) for x in pages).rstrip(b"\0") == text.encode()
+        for x in pages:
+            scheme, predictor, tile = T.form_of(np.frombuffer(bytes(x.pixels), np.uint8))
+            assert (T.NAMES[scheme], predictor, tile is not None) == (x.compression, x.predictor, x.tiled)
+
+
 def test_negative_fields_are_errors():
     r = np.random.default_rng(6)
     pixels = r.integers(0, 256, (40, 30), dtype=np.uint8)
