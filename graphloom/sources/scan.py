@@ -7,7 +7,6 @@ instead. Extraction runs where the files are (one pass of Python over each), eve
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 import re
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from graphloom.functions import rules
 from graphloom.functions.builtins import builtin
 from graphloom.functions.text import LANGUAGES, language, minified, nonblank_lines
 from graphloom.plans.routes import matched
+from graphloom.sources import tree
 from graphloom.sources.extract import environment, extract
 
 MOST_BYTES = 2 << 20
@@ -33,20 +33,13 @@ FACT = "fact string, ord long, name string, leaf string, scope long, start long,
 
 
 def walk(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Sources and manifests below a local folder, hidden ones, links and SKIPPED left out. The driver lists
-    and reads them: Spark's file sources would drop names that begin with an underscore."""
-    files, manifests = [], []
-    for at, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in SKIPPED and not os.path.islink(os.path.join(at, d)))
-        for n in sorted(names):
-            full = os.path.join(at, n)
-            rel = os.path.relpath(full, root).replace(os.sep, "/")
-            source = n.rsplit(".", 1)[-1] in LANGUAGES and not n.endswith(".d.ts")
-            if n.startswith(".") or os.path.islink(full) or not (source or n in MANIFESTS) or os.path.getsize(full) > MOST_BYTES:
-                continue
-            with open(full, encoding="utf-8", errors="replace") as f:
-                (manifests if n in MANIFESTS else files).append((rel, f.read()))
-    return spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(manifests, "path string, text string")
+    """Sources and manifests (path, text) below a folder that driver and tasks see; hidden ones, links, SKIPPED,
+    what ignore files leave out and files beyond MOST_BYTES are not among them. The driver lists names only:
+    Spark's file sources would drop those that begin with an underscore."""
+    found = tree.files(spark, root, SKIPPED).filter(F.col("bytes") <= MOST_BYTES)
+    name, end = F.substring_index("path", "/", -1), F.substring_index("path", ".", -1)
+    source = F.contains(name, F.lit(".")) & end.isin(*LANGUAGES) & ~F.endswith(name, F.lit(".d.ts")) & ~name.isin(*MANIFESTS)
+    return tree.read(found.filter(source), root), tree.read(found.filter(name.isin(*MANIFESTS)), root)
 
 
 def packages(manifests: DataFrame) -> list[dict]:
