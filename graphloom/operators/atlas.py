@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import slug, title_case
 from graphloom.operators.graph import first_per, ordered
+from graphloom.plans.durable import cut
 
 EVIDENCE, ARROW_LABELS, TOP_DEPENDENCIES = 12, 3, 3
 # Directories that do not name a component.
@@ -104,23 +105,27 @@ def union_by_priority(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def rank_traces(traces: DataFrame, k: int = 8) -> DataFrame:
     """(pick, trace): up to k traces, each that with the largest gain over those before: 6 for a known entry, 5
     for a new start package, 4 for each new boundary, 2 for each new package; then more hops, langs, steps, and
-    the lower number. traces: trace, known, start, boundaries, packages, hops, langs, steps; one small group."""
-
-    def greedy(pdf):
-        import pandas as pd
-
-        rows, starts, bounds, packs, out = pdf.to_dict("records"), set(), set(), set(), []
-        while rows and len(out) < k:
-            gain = lambda r: 6 * bool(r["known"]) + 5 * (r["start"] not in starts) + 4 * len(set(r["boundaries"]) - bounds) + 2 * len(set(r["packages"]) - packs)
-            best = max(rows, key=lambda r: (gain(r), r["hops"], r["langs"], r["steps"], -r["trace"]))
-            rows.remove(best)
-            starts.add(best["start"])
-            bounds |= set(best["boundaries"])
-            packs |= set(best["packages"])
-            out.append((len(out), best["trace"]))
-        return pd.DataFrame(out, columns=["pick", "trace"])
-
-    # only the best of each (start, boundaries, packages, known) can be picked before its equals: at most k of each
-    w = Window.partitionBy("known", "start", "boundaries", "packages").orderBy(F.desc("hops"), F.desc("langs"), F.desc("steps"), "trace")
-    few = traces.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= k).drop("n_")
-    return few.groupBy(F.lit(0).alias("g")).applyInPandas(greedy, "pick long, trace long")
+    the lower number. traces: trace, known, start, boundaries, packages, hops, langs, steps.
+
+    Each pick is one aggregate over all traces that are left, combined where they are: no group holds them. What
+    is picked comes to the driver, k rows with the boundaries and packages of a trace each. A null start is a
+    package of its own, null lists are empty; repeated rows of a trace count once.
+    """
+    rows = cut(traces.select("trace", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hops", "langs", "steps")], F.coalesce("known", F.lit(False)).alias("known"), "start", *[F.coalesce(c, F.expr("array()").cast("array<string>")).alias(c) for c in ("boundaries", "packages")]))
+    starts, bounds, packs, picked = [], set(), set(), []
+    words = lambda x: F.array(*[F.lit(v) for v in sorted(x)]).cast("array<string>")
+    for _ in range(k):
+        new_start = F.lit(True)
+        for s in starts:
+            new_start = new_start & ~F.col("start").eqNullSafe(F.lit(s))
+        gain = 6 * F.col("known").cast("int") + 5 * new_start.cast("int") + 4 * F.size(F.array_except("boundaries", words(bounds))) + 2 * F.size(F.array_except("packages", words(packs)))
+        order = F.struct(gain.alias("gain"), "hops", "langs", "steps", (-F.col("trace")).alias("low"))
+        left = rows.filter(~F.col("trace").isin(picked)) if picked else rows
+        best = left.agg(F.max_by(F.struct("trace", "start", "boundaries", "packages"), order).alias("r")).first().r
+        if best is None:
+            break
+        picked.append(best.trace)
+        starts.append(best.start)
+        bounds |= {x for x in best.boundaries if x is not None}
+        packs |= {x for x in best.packages if x is not None}
+    return traces.sparkSession.createDataFrame(list(enumerate(picked)), "pick long, trace long")

@@ -17,6 +17,7 @@ from graphloom.operators import model as M
 from graphloom.operators import traces as R
 from graphloom.plans import oracle
 from graphloom.plans.routes import matched
+from graphloom.sources import tree
 from graphloom.sources.projection import event_chain, graph, read
 from graphloom.streaming import progress, telemetry
 
@@ -206,6 +207,16 @@ def _rank_traces(spark: SparkSession, d: str) -> DataFrame:
     return A.rank_traces(t, 8)
 
 
+def _not_ignored(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as files below region, nation and segment; regions and nations have rules."""
+    nations = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files = read(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "r_name", "n_name", "c_mktsegment", "c_name").alias("path"), "c_custkey")
+    own = F.when(F.col("n_nationkey") % 3 == 0, "BUILDING/").when(F.col("n_nationkey") % 3 == 1, "!*5").otherwise("/MACH*/*[2-4]\n# all")
+    texts = nations.select(F.concat_ws("/", "r_name", "n_name").alias("dir"), F.lit(1).alias("rank"), own.alias("text"))
+    regions = read(spark, d, "region").select(F.col("r_name").alias("dir"), F.lit(1).alias("rank"), F.lit("*5\n!*15\n").alias("text"))
+    return tree.not_ignored(files, tree.rules(texts.unionByName(regions))).select("c_custkey", "path")
+
+
 def _log(events: DataFrame) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warn").when(F.col("event_type") == "signup", "info").otherwise("debug")
     return telemetry.log_query(events.select(F.col("event_id").alias("seq"), level.alias("level"), F.col("props").alias("message")), 500, "info", '"k": 7', 50)
@@ -389,6 +400,7 @@ def queries() -> dict[str, Query]:
         "leads_somewhere": _over(G.leads_somewhere),
         "traces_summary": _over(_traces_summary),
         "traces_steps": _over(_traces_steps),
+        "paths_not_ignored": _not_ignored,
         "progress_events": _progress_events,
         "agents_progress": _agents_progress,
         "names_registered": _names,

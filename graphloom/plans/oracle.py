@@ -197,6 +197,9 @@ SELECT d::BIGINT AS pos, id FROM back""",
   WHERE seq > 500 AND level IN ('error', 'warn', 'info') AND contains(lower(message), '"k": 7') ORDER BY seq DESC LIMIT 50""",
         "ring_buffer": "SELECT event_id AS seq, event_type AS level FROM events ORDER BY seq DESC LIMIT 5000",
         "fps_tumbling": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS frames FROM events GROUP BY 1",
+        "paths_not_ignored": """SELECT c_custkey, r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+          WHERE NOT (n_name LIKE '%5' AND n_name NOT LIKE '%15') AND NOT (n_nationkey % 3 = 0 AND c_mktsegment = 'BUILDING')
+          AND NOT (n_nationkey % 3 <> 1 AND c_name LIKE '%5' AND c_name NOT LIKE '%15') AND NOT (n_nationkey % 3 = 2 AND c_mktsegment LIKE 'MACH%' AND regexp_matches(c_name, '[2-4]$'))""",
         "progress_events": f"""WITH {PROGRESS} SELECT seq, (['started', 'stage', 'proposed', 'survey_done', 'container_done', 'journey_done', 'verified', 'agent_done', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_activity', 'agent_started', NULL, NULL])[k + 1] AS event,
           CASE k WHEN 0 THEN event_type END AS model, CASE k WHEN 0 THEN user_id END AS containers, CASE k WHEN 0 THEN user_id % 7 END AS journeys, CASE k WHEN 0 THEN value > 50 END AS scout, CASE k WHEN 1 THEN event_type END AS stage, role, target,
           CASE k WHEN 13 THEN 'the ' || event_type END AS name, kind, CASE kind WHEN 'reading' THEN 'src/' || event_type END AS path, CASE kind WHEN 'searching' THEN props END AS query,
