@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from graphloom.operators.graph import SINK_TAGS, entries, hops, kept, leads_somewhere, lift
-from graphloom.plans.durable import cut
+from graphloom.plans.durable import cut, small, stored
 from graphloom.sources.projection import Graph
 
 DEPTH, STEPS = 24, 300
+PLACE, ROUNDS = 2, 2  # bytes of a place among siblings in a key; rounds before walks are written
+TASK_EDGES = 100_000  # of the entries whose walks a task makes
 
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,41 +50,59 @@ def node_sinks(nodes: DataFrame, walked: DataFrame) -> DataFrame:
     return out.select("id", F.concat(own, lost).alias("sinks")).filter(F.size("sinks") > 0)
 
 
-def _in_order(*keys: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy("key"))
+def _marked(rows: DataFrame, kids: DataFrame) -> DataFrame:
+    """The first STEPS + 1 rows of each entry in pre-order, with their number n, whether they repeat a node that
+    is expanded before, their depth and the children k that they open, null if none."""
+    in_order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("key"))
+    out = rows.withColumn("n", in_order("entry")).filter(F.col("n") <= STEPS + 1)
+    out = out.withColumn("repeat", (in_order("entry", "node") > 1) & F.col("goes_on")).withColumn("depth", (F.octet_length("key") / PLACE).cast("int"))
+    opens = (F.col("n") <= STEPS) & ~F.col("repeat") & (F.col("depth") < DEPTH)
+    return out.join(kids, "node", "left").withColumn("k", F.when(opens, F.coalesce("own", "kids"))).drop("kids")
 
 
-def _marked(rows: DataFrame, most: int) -> DataFrame:
-    """The first `most` rows of each entry in pre-order, with their number n and whether they repeat a node
-    that is expanded before."""
-    kept_rows = rows.withColumn("n", _in_order("entry")).filter(F.col("n") <= most)
-    return kept_rows.withColumn("repeat", (_in_order("entry", "node") > 1) & F.col("goes_on"))
+def _opened() -> Column:
+    """A digest of the steps of a walk that open children."""
+    return F.coalesce(F.bit_xor(F.when(F.col("k").isNotNull(), F.xxhash64("key", "node"))).over(Window.partitionBy("entry")), F.lit(0))
 
 
-def _walks(nexts: DataFrame, starts: DataFrame) -> DataFrame:
-    """(entry, node, key, path, via, flow, goes_on): the first STEPS + 1 steps from each start, depth first.
+def _walks(kids: DataFrame, roots: DataFrame, whole: bool) -> DataFrame:
+    """(entry, node, via, flow, n, parent, depth, repeat, truncated): the first STEPS steps from each root, depth
+    first, n from 1. Walks without a flow are left out, unless whole.
 
     A step's key is the places of its ancestors among their siblings and its own, so that keys in order are
     the walk in order. Each round marks the steps so far, and makes the next steps anew as the children of
-    those that are no repeats. A step depends only on steps before it, so at least one more step of each
-    walk is final after each round, in practice a level or more; walks that a round leaves as they are, by
-    the sum of their hashes, are done. A group holds one walk, STEPS + 1 rows and their children at most.
+    those that open any. A step depends only on steps before it, so at least one more step of each walk is
+    final after each round, in practice a level or more; a walk of which the same steps open children as
+    before is done. A round passes over the steps once, without a shuffle of theirs if kids are few, and only
+    every ROUNDS rounds, walks are written. A group holds one walk, STEPS + 1 rows and their children at most.
     """
-    root = starts.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.expr("array()").cast("array<int>").alias("key"), F.array("id").alias("path"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("flow"), "goes_on")
-    now, done = cut(root.withColumns({"digest": F.lit(0).cast("decimal(38,0)"), "before": F.lit(None).cast("decimal(38,0)")})), []
-    of_entry = Window.partitionBy("entry")
-    for _ in range(STEPS + 2):
-        marked = _marked(now, STEPS + 1)
-        open_ = marked.filter((F.col("n") <= STEPS) & ~F.col("repeat") & (F.size("key") < DEPTH)).select("entry", F.col("node").alias("src"), "key", "path", "digest")
-        steps = open_.join(nexts, "src").filter(~F.array_contains("path", F.col("dst")))
-        steps = steps.select("entry", F.col("dst").alias("node"), F.concat("key", F.array("place")).alias("key"), F.concat("path", F.array("dst")).alias("path"), F.col("label").alias("via"), "flow", "goes_on", F.col("digest").alias("before"))
-        again = now.filter(F.size("key") == 0).select("entry", "node", "key", "path", "via", "flow", "goes_on", F.col("digest").alias("before"))
-        few = again.unionByName(steps).withColumn("n", _in_order("entry")).filter(F.col("n") <= STEPS + 1).drop("n")
-        new = cut(few.withColumn("digest", F.sum(F.xxhash64("key", "node").cast("decimal(20,0)")).over(of_entry)))
-        done.append(new.filter("digest = before").drop("digest", "before"))
-        now = new.filter("digest <> before")
+    of = Window.partitionBy("entry")
+    child = lambda x: F.struct(x["dst"].alias("node"), F.concat("key", x["place"]).alias("key"), F.concat("path", F.array(x["dst"])).alias("path"), x["label"].alias("via"), x["flow"].alias("flow"), x["goes_on"].alias("goes_on"), F.lit(None).cast(own).alias("own"))
+    own = roots.schema["own"].dataType
+    parts = ["node", "key", "path", "via", "flow", "goes_on", "own"]
+    none = F.array().cast(ArrayType(roots.select(*parts).schema))
+    now, done = roots, None
+    for _ in range(0, STEPS + 2, ROUNDS):
+        for _ in range(ROUNDS):
+            marked = _marked(now, kids).withColumn("before", _opened())
+            again = F.when(F.col("depth") == 0, F.array(F.struct(*parts)))
+            new = F.transform(F.filter("k", lambda x: ~F.array_contains("path", x["dst"])), child)
+            now = marked.select("entry", "before", F.inline(F.concat(F.coalesce(again, none), F.coalesce(new, none))))
+        marked = _marked(now, kids).withColumn("settled", _opened() == F.col("before"))
+        inside = F.col("n") <= STEPS
+        deep = (F.col("depth") >= DEPTH) & ~F.col("repeat") & F.col("goes_on") & inside
+        out = marked.withColumns({"truncated": (F.max("n").over(of) > STEPS) | F.bool_or(deep).over(of), "flows": F.bool_or(F.col("flow") & inside).over(of)})
+        up = F.expr(f"substring(key, 1, octet_length(key) - {PLACE})")
+        # a first child follows its parent
+        out = out.withColumn("parent", F.when(F.col("depth") > 0, F.min("n").over(Window.partitionBy("entry", "depth", up)) - 1))
+        out = out.filter(~F.col("settled") | (inside & (F.lit(whole) | F.col("flows"))))
+        rest = lambda *names: [F.when(~F.col("settled"), F.col(x)).alias(x) for x in names]
+        out = stored(out.select("settled", "entry", "node", "via", "flow", "n", "parent", "depth", "repeat", "truncated", *rest("key", "path", "goes_on", "own")))
+        final = out.filter("settled").drop("settled", "key", "path", "goes_on", "own")
+        done = final if done is None else done.unionByName(final)
+        now = out.filter("not settled").select("entry", *parts)
         if now.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return done
     raise RuntimeError("walks did not settle")
 
 
@@ -100,48 +119,52 @@ def traces(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None,
     whole. lang is null if nodes have none.
     """
     g = Graph(nodes, edges)
-    walked = cut(hops(g).select("src", "dst", "kind", "label").distinct())
-    alive = leads_somewhere(g)
-    out_of = walked.select(F.col("src").alias("id"), F.lit(True).alias("goes_on")).distinct()
-    live = walked.join(alive.select(F.col("id").alias("dst")), "dst", "left_semi").filter("kind = 'calls'").unionByName(walked.filter("kind = 'flow'").select("dst", "src", "kind", "label"))
+    # what follows goes by src, so that a walk begins where its entry's children are
+    walked = stored(hops(g).select("src", "dst", "kind", "label").repartition("src").distinct())
+    alive = leads_somewhere(g, walked=walked)
+    ends = cut(walked.select(F.col("dst").alias("id")).distinct())
+    out_of = walked.select(F.col("src").alias("id")).join(small(ends), "id").distinct().withColumn("goes_on", F.lit(True))
+    is_alive = alive.join(small(ends), "id").withColumn("alive", F.lit(True))
+    ends = small(cut(ends.join(out_of, "id", "left").join(is_alive, "id", "left").select(F.col("id").alias("dst"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"), F.coalesce("alive", F.lit(False)).alias("alive"))))
+    live = walked.join(ends, "dst").filter("kind = 'flow' or alive").repartition(1 + walked.count() // TASK_EDGES, "src")
     # a walk has STEPS steps and skips what is on its way, so children beyond these two bounds are in none
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("label").asc_nulls_first(), "dst", "kind"))
-    ranked = live.withColumn("place", place).filter(F.col("place") <= STEPS + DEPTH + 1)
-    goes_on = lambda df, at: df.join(out_of.withColumnRenamed("id", at), at, "left").withColumn("goes_on", F.col("goes_on").isNotNull())
-    nexts = cut(goes_on(ranked.select("src", "dst", (F.col("kind") == "flow").alias("flow"), "label", "place"), "dst"))
-    first = entries(walked).join(alive, "id", "left_semi") if starts is None else starts.select("id").distinct()
-    found = cut(_marked(_walks(nexts, goes_on(first, "id")), STEPS + 1))
-    deep = (F.size("key") >= DEPTH) & ~F.col("repeat") & F.col("goes_on")
-    of = found.groupBy("entry").agg((F.max("n") > STEPS).alias("long"), F.bool_or(deep & (F.col("n") <= STEPS)).alias("deep"), F.bool_or(F.col("flow") & (F.col("n") <= STEPS)).alias("flows"))
-    steps = found.filter(F.col("n") <= STEPS).join(of if whole else of.filter("flows"), "entry")
-    above = found.select("entry", F.col("key").alias("up"), (F.col("n") - 1).alias("parent"))
-    steps = steps.withColumn("up", F.when(F.size("key") > 0, F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0))))).join(above, ["entry", "up"], "left")
+    number = F.row_number().over(Window.partitionBy("src").orderBy(F.col("label").asc_nulls_first(), "dst", "kind"))
+    ranked = live.withColumn("number", number).filter(F.col("number") <= STEPS + DEPTH + 1)
+    place = F.unhex(F.lpad(F.hex("number"), 2 * PLACE, "0"))
+    one = F.struct(place.alias("place"), "dst", "label", (F.col("kind") == "flow").alias("flow"), "goes_on")
+    kids = ranked.groupBy(F.col("src").alias("node")).agg(F.collect_list(one).alias("kids"))
+    inner = ends.select(F.col("dst").alias("node"))
+    if starts is None and not whole:  # an entry that opens nothing has no flow
+        roots = kids.join(inner, "node", "left_anti").select(F.col("node").alias("entry"), F.col("kids").alias("own"), F.lit(True).alias("goes_on"))
+    else:
+        first = entries(walked).join(alive, "id", "left_semi") if starts is None else starts.select("id").distinct()
+        goes = walked.select(F.col("src").alias("id")).distinct().withColumn("goes_on", F.lit(True))
+        roots = first.join(goes, "id", "left").join(kids.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("entry"), F.col("kids").alias("own"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    label, node = F.lit(None).cast("string"), F.col("entry")
+    roots = roots.select("entry", node.alias("node"), F.lit(b"").alias("key"), F.array(node).alias("path"), label.alias("via"), F.lit(False).alias("flow"), "goes_on", "own")
+    steps = _walks(small(cut(kids.join(inner, "node"))), roots, whole)
     lang = F.col("lang") if "lang" in nodes.columns else F.lit(None).cast("string")
-    lanes = lift(g, kept("package")).join(nodes.select(F.col("id").alias("target"), F.col("name").alias("lane")), "target").select("node", "lane")
-    about = nodes.select(F.col("id").alias("node"), "name", "path", lang.alias("lang"))
-    out = steps.drop("path").join(about, "node", "left").join(lanes, "node", "left").join(node_sinks(nodes, walked).withColumnRenamed("id", "node"), "node", "left")
+    lanes = lift(g, kept("package")).join(small(cut(nodes.filter(kept("package")).select(F.col("id").alias("target"), F.col("name").alias("lane")))), "target").select("node", "lane")
+    about = nodes.select(F.col("id").alias("node"), "name", "path", lang.alias("lang")).join(lanes, "node", "left").join(node_sinks(nodes, walked).withColumnRenamed("id", "node"), "node", "left")
+    about = stored(about)
+    # entries are many and in one step each, what they reach is less
+    below = steps.filter("n > 1").join(small(cut(about.join(inner, "node"))), "node", "left")
+    out = steps.filter("n = 1").join(about, "node", "left").unionByName(below)
     long = lambda c: c.cast("long")
     return out.select(
-        "entry", long(F.col("n") - 1).alias("step"), long(F.col("parent")).alias("parent"), "node", "via", "flow", long(F.size("key")).alias("depth"), "repeat", (F.col("long") | F.col("deep")).alias("truncated"),
+        "entry", long(F.col("n") - 1).alias("step"), long(F.col("parent") - 1).alias("parent"), "node", "via", "flow", long(F.col("depth")).alias("depth"), "repeat", "truncated",
         "name", "path", "lang", F.coalesce("lane", F.lit("")).alias("lane"), F.coalesce("sinks", F.expr("array()").cast("array<string>")).alias("sinks"),
     )
 
 
-def _first_seen(value: Column) -> Column:
-    """Distinct values of a trace's steps, STEPS at most, in the order of the steps."""
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("step", value.alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
-
-
 def summary(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entry, entry_path, name, hops, steps, langs, lanes, via, sinks, truncated): of each trace its flows,
     its steps, and languages, lanes, labels of flows and sinks as they first appear. The order is flows,
     languages, steps, each the most first, then the entry's path."""
-    pairs = F.array_sort(F.collect_list(F.struct("step", "sinks")))
-    out = steps.groupBy("entry").agg(
-        F.count_if("flow").alias("hops"), F.count("*").alias("steps"), _first_seen(F.col("lang")).alias("langs"), _first_seen(F.col("lane")).alias("lanes"),
-        _first_seen(F.when(F.col("flow"), F.col("via"))).alias("via"), F.array_distinct(F.flatten(F.transform(pairs, lambda x: x["sinks"]))).alias("sinks"), F.bool_or("truncated").alias("truncated"),
-    )
+    rows = F.array_sort(F.collect_list(F.struct("step", "lang", "lane", F.when(F.col("flow"), F.col("via")).alias("via"), "sinks")))
+    seen = lambda f: F.array_distinct(F.array_compact(F.transform("rows", lambda x: x[f]))).alias(f"{f}s" if f[0] == "l" else f)
+    out = steps.groupBy("entry").agg(F.count_if("flow").alias("hops"), F.count("*").alias("steps"), F.bool_or("truncated").alias("truncated"), rows.alias("rows"))
+    out = out.select("entry", "hops", "steps", "truncated", seen("lang"), seen("lane"), seen("via"), F.array_distinct(F.flatten(F.transform("rows", lambda x: x["sinks"]))).alias("sinks"))
     out = out.join(nodes.select(F.col("id").alias("entry"), F.col("path").alias("entry_path"), "name"), "entry")
     out = out.select("entry", "entry_path", "name", "hops", "steps", "langs", "lanes", "via", "sinks", "truncated")
     return out.orderBy(F.desc("hops"), F.desc(F.size("langs")), F.desc("steps"), "entry_path", "entry")

@@ -132,3 +132,15 @@ def test_endpoints(spark):
     n, e = tables(spark, nodes, {(1, 0, "flow", "http /a"), (4, 3, "flow", None)})
     got = {(r.kind, r.key): (list(r.handlers), list(r.callers), r.status) for r in R.endpoints(n, e).collect()}
     assert got == {("http", "/a"): ([0], [1], "ok"), ("http", "/b"): ([3], [], "no-callers"), ("http", "/c"): ([], [4], "no-handler"), ("queue", "t"): ([6], [5], "ok"), ("queue", "u"): ([], [7], "no-handler"), ("ipc", "go"): ([8], [], "no-callers")}
+
+
+def test_walks_write_little(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    symbols = {i: ("symbol", f"s{i}", f"f#s{i}", "go", 3, ("db",)) for i in range(1000, 4000)}
+    files = {i: ("file", f"f{i}", f"f{i}", "go", 0, ("fs",)) for i in range(100, 160)}
+    nodes = symbols | files | {0: ("repo", "r", "", None, None, ()), 3: ("file", "f", "f", "go", 0, ())}
+    edges = {(i, 100 + (i * k) % 50, "calls", f"c{k}") for i in symbols for k in (1, 3, 7, 11)} | {(i, 150 + i % 10, "flow", "http /a") for i in range(100, 150)}
+    got, steps, _ = run(spark, nodes, edges)
+    assert got == walk_by_hand(nodes, edges)
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file())
+    assert written < 100 * steps.count()
