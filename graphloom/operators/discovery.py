@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lookup import endpoint_keys
-from graphloom.operators.traces import endpoints, summary, traces
-from graphloom.plans.durable import cut
+from graphloom.operators.traces import contract_ends, ground, walks
+from graphloom.plans.durable import cut, small
 
 KINDS = ("call", "flow", "store", "return")
 
@@ -70,7 +70,11 @@ def starts(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     bare = lambda c: F.btrim(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("`"))
     want = cut(asked.select("query", bare("start").alias("start"), bare("hint").alias("hint")))
-    all_traces = cut(summary(traces(nodes, edges), nodes).select("entry", "entry_path", (-F.col("hops")).alias("h"), (-F.size("langs")).alias("l"), (-F.col("steps")).alias("s")))
+    on = ground(nodes, edges)
+    steps = walks(on)
+    lang = steps.join(nodes.select(F.col("id").alias("node"), "lang"), "node", "left") if "lang" in nodes.columns else steps.withColumn("lang", F.lit(None).cast("string"))
+    order = lang.groupBy("entry").agg((-F.count_if("flow")).alias("h"), (-F.count_distinct("lang")).alias("l"), (-F.count("*")).alias("s"))
+    all_traces = cut(order.join(nodes.select(F.col("id").alias("entry"), F.col("path").alias("entry_path")), "entry"))
     rank = F.struct("h", "l", "s", "entry_path", "entry")
     by_path = all_traces.groupBy(F.col("entry_path").alias("written")).agg(F.min_by("entry", rank).alias("trace"))
     hit = lambda df, prio, how: df.select("query", F.struct(F.lit(prio).alias("prio"), F.col("path").alias("entry"), F.col("trace"), F.lit(how).alias("how")).alias("hit"))
@@ -80,19 +84,23 @@ def starts(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     first_of = nodes.groupBy("path").agg(F.min("id").alias("id"))
     left = want.filter("start <> ''").join(at_entry.select("query").distinct(), "query", "left_anti")
     symbol = left.filter(F.contains("start", F.lit("#"))).join(first_of.withColumnRenamed("path", "start"), "start").select("query", F.col("start").alias("path"), "id")
-    # the first contract, gaps first and then by key, of those that the words may mean
-    ends = endpoints(nodes, edges).select(F.concat("kind", F.lit(" "), "key").alias("key"), (F.col("status") == "ok").alias("ok"), "handlers", "callers")
-    meant = left.select("query", F.explode(endpoint_keys(F.col("start"))).alias("key")).join(ends, "key")
-    meant = cut(meant.groupBy("query").agg(F.min_by(F.struct("handlers", "callers"), F.struct("ok", "key")).alias("e")).select("query", "e.*"))
-    sides = meant.select("query", F.posexplode(F.concat("callers", "handlers")).alias("place", "id"))
+    # the first contract, gaps first and then by key, of those that the words may mean; who takes part in it stays a row
+    # each, once a contract and not once a query
+    ends = contract_ends(nodes, edges).select(F.concat("kind", F.lit(" "), "key").alias("key"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("caller").alias("id")), F.struct(F.lit(1).alias("side"), F.col("handler").alias("id")))))
+    ends = cut(ends.filter("id IS NOT NULL").distinct())
+    known = cut(ends.groupBy("key").agg((F.count_distinct("side") == 2).alias("ok"), F.coalesce(F.min(F.when(F.col("side") == 1, F.col("id"))), F.min("id")).alias("first")))
+    meant = left.select("query", F.explode(endpoint_keys(F.col("start"))).alias("key")).join(small(known), "key")
+    meant = cut(meant.groupBy("query").agg(F.min(F.struct("ok", "key", "first")).alias("e")).select("query", "e.key", "e.first"))
+    sides = ends.join(meant.select("key").distinct(), "key", "left_semi")
     # what may be traced although it is called itself
     others = symbol.select("id").unionByName(sides.select("id")).distinct().join(all_traces.select(F.col("entry").alias("id")), "id", "left_anti")
-    traced = cut(traces(nodes, edges, others).select(F.col("entry").alias("id")).distinct().unionByName(all_traces.select(F.col("entry").alias("id"))))
+    traced = cut(walks(on, others).select(F.col("entry").alias("id")).distinct().unionByName(all_traces.select(F.col("entry").alias("id"))))
     traced = traced.withColumn("trace", F.col("id"))
     at_symbol = symbol.join(traced, "id", "left")
     paths = nodes.select("id", "path")
-    followed = sides.join(traced, "id").groupBy("query").agg(F.min_by("id", "place").alias("id")).join(paths, "id").withColumn("trace", F.col("id"))
-    named_first = meant.select("query", F.coalesce(F.get("handlers", F.lit(0)), F.get("callers", F.lit(0))).alias("id")).join(paths, "id").withColumn("trace", F.lit(None).cast(nodes.schema["id"].dataType))
+    by_key = cut(sides.join(traced, "id").groupBy("key").agg(F.min(F.struct("side", "id"))["id"].alias("id")))
+    followed = meant.join(small(by_key), "key").select("query", "id").join(paths, "id").withColumn("trace", F.col("id"))
+    named_first = meant.select("query", F.col("first").alias("id")).join(paths, "id").withColumn("trace", F.lit(None).cast(nodes.schema["id"].dataType))
     in_file = F.substring_index("start", "#", 1)
     of_file = all_traces.groupBy(F.substring_index("entry_path", "#", 1).alias("file")).agg(F.min_by(F.struct(F.col("entry").alias("trace"), "entry_path"), rank).alias("t"))
     files = left.select("query", in_file.alias("file")).join(nodes.filter("kind = 'file'").select(F.col("path").alias("file")).distinct(), "file").join(of_file, "file", "left")

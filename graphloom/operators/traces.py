@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -15,8 +17,8 @@ PLACE, ROUNDS = 2, 2  # bytes of a place among siblings in a key; rounds before
 TASK_EDGES = 100_000  # of the entries whose walks a task makes
 
 
-def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, kind, handlers, callers, status): contracts of servers and clients, gaps first.
+def contract_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, kind, handler, caller): ends of the contracts of servers and clients, either null; rows may repeat.
 
     Flows pair their ends under their label. A node that flows, and a key that flows, is accounted for
     there; other tags make their node a handler if it serves, a caller if it asks. Of a topic the producer
@@ -33,7 +35,12 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     serves = F.when(kind == "queue", ~has("queue-producer")).otherwise(has("http-server", "ipc-server"))
     rest = tagged.select(F.regexp_replace("t", "^(route|ipc|topic):", "").alias("key"), kind.alias("kind"), F.when(serves, F.col("id")).alias("handler"), F.when(asks, F.col("id")).alias("caller"))
     rest = rest.filter("handler IS NOT NULL OR caller IS NOT NULL").join(rows.select("key", "kind").distinct(), ["key", "kind"], "left_anti")
-    out = rows.unionByName(rest).groupBy("key", "kind").agg(F.array_sort(F.collect_set("handler")).alias("handlers"), F.array_sort(F.collect_set("caller")).alias("callers"))
+    return rows.unionByName(rest)
+
+
+def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, kind, handlers, callers, status): contracts of servers and clients, gaps first."""
+    out = contract_ends(nodes, edges).groupBy("key", "kind").agg(F.array_sort(F.collect_set("handler")).alias("handlers"), F.array_sort(F.collect_set("caller")).alias("callers"))
     status = F.when(F.size("handlers") == 0, "no-handler").when(F.size("callers") == 0, "no-callers").otherwise("ok")
     return out.withColumn("status", status).orderBy(F.col("status") == "ok", "kind", "key")
 
@@ -106,18 +113,9 @@ def _walks(kids: DataFrame, roots: DataFrame, whole: bool) -> DataFrame:
     raise RuntimeError("walks did not settle")
 
 
-def traces(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, whole: bool = False) -> DataFrame:
-    """(entry, step, parent, node, via, flow, depth, repeat, truncated, name, path, lang, lane, sinks): steps
-    of each trace in pre-order.
-
-    Walks begin at starts (id), or where hops lead out and none in and something is reached. They leave out
-    branches that reach neither a sink nor a flow, do not enter a node again that is on the way here, and
-    end at a `repeat` of a node that the trace has expanded before. Children go by label (null first), id
-    and kind, as edges carry no order of their own. A walk is at most DEPTH deep and STEPS long; one that
-    goes on beyond is `truncated`. via is the label and flow whether the hop is one; lane the package that a
-    step runs in, '' without one; sinks what data rests in there. Traces without a flow are left out, unless
-    whole. lang is null if nodes have none.
-    """
+def ground(nodes: DataFrame, edges: DataFrame) -> SimpleNamespace:
+    """What all walks share: the hops, the nodes that lead somewhere, the children of each node in order, and the nodes
+    that hops lead to."""
     g = Graph(nodes, edges)
     # what follows goes by src, so that a walk begins where its entry's children are
     walked = stored(hops(g).select("src", "dst", "kind", "label").repartition("src").distinct())
@@ -133,22 +131,42 @@ def traces(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None,
     place = F.unhex(F.lpad(F.hex("number"), 2 * PLACE, "0"))
     one = F.struct(place.alias("place"), "dst", "label", (F.col("kind") == "flow").alias("flow"), "goes_on")
     kids = ranked.groupBy(F.col("src").alias("node")).agg(F.collect_list(one).alias("kids"))
-    inner = ends.select(F.col("dst").alias("node"))
+    return SimpleNamespace(walked=walked, alive=alive, kids=kids, inner=ends.select(F.col("dst").alias("node")))
+
+
+def walks(on: SimpleNamespace, starts: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(entry, node, via, flow, n, parent, depth, repeat, truncated): steps of the walks of traces, n from 1."""
     if starts is None and not whole:  # an entry that opens nothing has no flow
-        roots = kids.join(inner, "node", "left_anti").select(F.col("node").alias("entry"), F.col("kids").alias("own"), F.lit(True).alias("goes_on"))
+        roots = on.kids.join(on.inner, "node", "left_anti").select(F.col("node").alias("entry"), F.col("kids").alias("own"), F.lit(True).alias("goes_on"))
     else:
-        first = entries(walked).join(alive, "id", "left_semi") if starts is None else starts.select("id").distinct()
-        goes = walked.select(F.col("src").alias("id")).distinct().withColumn("goes_on", F.lit(True))
-        roots = first.join(goes, "id", "left").join(kids.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("entry"), F.col("kids").alias("own"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+        first = entries(on.walked).join(on.alive, "id", "left_semi") if starts is None else starts.select("id").distinct()
+        goes = on.walked.select(F.col("src").alias("id")).distinct().withColumn("goes_on", F.lit(True))
+        roots = first.join(goes, "id", "left").join(on.kids.withColumnRenamed("node", "id"), "id", "left" if whole else "inner").select(F.col("id").alias("entry"), F.col("kids").alias("own"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
     label, node = F.lit(None).cast("string"), F.col("entry")
     roots = roots.select("entry", node.alias("node"), F.lit(b"").alias("key"), F.array(node).alias("path"), label.alias("via"), F.lit(False).alias("flow"), "goes_on", "own")
-    steps = _walks(small(cut(kids.join(inner, "node"))), roots, whole)
+    return _walks(small(cut(on.kids.join(on.inner, "node"))), roots, whole)
+
+
+def traces(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(entry, step, parent, node, via, flow, depth, repeat, truncated, name, path, lang, lane, sinks): steps
+    of each trace in pre-order.
+
+    Walks begin at starts (id), or where hops lead out and none in and something is reached. They leave out
+    branches that reach neither a sink nor a flow, do not enter a node again that is on the way here, and
+    end at a `repeat` of a node that the trace has expanded before. Children go by label (null first), id
+    and kind, as edges carry no order of their own. A walk is at most DEPTH deep and STEPS long; one that
+    goes on beyond is `truncated`. via is the label and flow whether the hop is one; lane the package that a
+    step runs in, '' without one; sinks what data rests in there. Traces without a flow are left out, unless
+    whole. lang is null if nodes have none.
+    """
+    g, on = Graph(nodes, edges), ground(nodes, edges)
+    steps = walks(on, starts, whole)
     lang = F.col("lang") if "lang" in nodes.columns else F.lit(None).cast("string")
     lanes = lift(g, kept("package")).join(small(cut(nodes.filter(kept("package")).select(F.col("id").alias("target"), F.col("name").alias("lane")))), "target").select("node", "lane")
-    about = nodes.select(F.col("id").alias("node"), "name", "path", lang.alias("lang")).join(lanes, "node", "left").join(node_sinks(nodes, walked).withColumnRenamed("id", "node"), "node", "left")
+    about = nodes.select(F.col("id").alias("node"), "name", "path", lang.alias("lang")).join(lanes, "node", "left").join(node_sinks(nodes, on.walked).withColumnRenamed("id", "node"), "node", "left")
     about = stored(about)
     # entries are many and in one step each, what they reach is less
-    below = steps.filter("n > 1").join(small(cut(about.join(inner, "node"))), "node", "left")
+    below = steps.filter("n > 1").join(small(cut(about.join(on.inner, "node"))), "node", "left")
     out = steps.filter("n = 1").join(about, "node", "left").unionByName(below)
     long = lambda c: c.cast("long")
     return out.select(

@@ -43,6 +43,22 @@ def test_starts_however_they_are_written(spark):
     assert {(r.query, r.entry, r.trace, r.how) for r in got} == {(a[0], *a[3:]) for a in asked}
 
 
+def test_who_takes_part_in_a_contract_is_not_copied_to_each_query(spark):
+    import os
+
+    from graphloom.plans.durable import cut
+
+    cut(spark.range(1))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    n = spark.range(2000).selectExpr("id", "'file' AS kind", "concat('f', id) AS name", "concat('f', id) AS path", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS BIGINT) AS parent", "array('http-client', 'route:/a') AS tags", "false AS external")
+    e = table(spark, [(5000, 5001, "flow", "http /b", 1)], "src long, dst long, kind string, label string, weight long")
+    before = size()
+    got = D.starts(spark.range(2000).selectExpr("id AS query", "'/a' AS start", "'' AS hint"), n, e)
+    assert {(r.entry, r.trace, r.how) for r in got.collect()} == {("f0", None, "endpoint")}
+    assert got.count() == 2000 and size() - before < 8e6
+
+
 def merge_by_hand(answers, drafts):
     up = lambda x: x.rsplit("/", 1)[0] if "/" in x else x
     used, out = set(), []
