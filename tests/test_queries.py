@@ -59,6 +59,18 @@ def test_accelerated_route_join_equals_the_plain_one(spark, parts):
     assert {tuple(r) for r in matched(df, df).collect()} == want
 
 
+def test_route_join_does_not_compare_all_routes_of_a_first_part(spark):
+    from threading import Timer
+
+    df = spark.range(20_000).selectExpr("concat('/en/', id, '.html') AS route").unionByName(spark.createDataFrame([("/en/*",)], "route string"))
+    late = Timer(60, spark.sparkContext.cancelAllJobs)  # 400 million pairs take far longer, a row a match a few seconds
+    late.start()
+    try:
+        assert matched(df, df).count() == 60_001
+    finally:
+        late.cancel()
+
+
 def test_view_keeps_weight(spark):
     g = graph(spark, SF)
     up = G.lift(g, G.kept("package")).cache()
