@@ -6,6 +6,7 @@ Everything is a table. Where an order decides (of files, evidence, tags), it is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from graphloom.operators.atlas import ARROW_LABELS, EVIDENCE, TOP_DEPENDENCIES,
 from graphloom.operators.graph import SINK_TAGS, first_per, lift
 from graphloom.operators.lookup import dodge
 from graphloom.operators.traces import endpoints
-from graphloom.plans.durable import cut
+from graphloom.plans.durable import cut, small, stored
 
 c = F.col
 FEW_FILES, SALTS, BRIEF_LINES, BRIEF_PARTS, NAMED_PARTS = 6, 64, 60, 14, 4
@@ -76,41 +77,70 @@ def first_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFra
 
 @dataclass
 class Facts:
+    """What the model needs of a graph. Each table is made and written once, when it is first asked for, as all
+    that follows reads it several times and no question needs all."""
+
     nodes: DataFrame  # as scanned
-    packages: DataFrame  # package, dir: by name; of equal names the directory of the last id
-    files: DataFrame  # file, path, lang, loc, package
-    edges: DataFrame  # a, b, via, label, from_path, to_path: between different files
-    deps: DataFrame  # package, dep, weight, rank
-    tags: DataFrame  # path, package, tag, ord: distinct in a file, ord as first met
+    lines: DataFrame  # the edges as scanned
+
+    @cached_property
+    def _at(self) -> DataFrame:
+        """(node, target, at): the file of each node and the node's own path."""
+        return cut(lift(SimpleNamespace(nodes=self.nodes), _inner()).join(self.nodes.select(c("id").alias("node"), c("path").alias("at")), "node"))
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        return self.nodes.filter((c("kind") == "package") & ~c("external")).groupBy(c("name").alias("package")).agg(F.max_by("path", "id").alias("dir"))
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """(file, path, lang, loc, package)."""
+        up = lift(SimpleNamespace(nodes=self.nodes), F.coalesce(c("kind") == "package", F.lit(False)))
+        up = up.join(self.nodes.select(c("id").alias("target"), c("name").alias("package")), "target").select(c("node").alias("file"), "package")
+        return cut(self.nodes.filter(_inner()).select(c("id").alias("file"), "path", "lang", "loc").join(up, "file", "left").withColumn("package", F.coalesce("package", F.lit("root"))))
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        """(package, dir): by name; of equal names the directory of the last id."""
+        return cut(self._named.unionByName(self.files.select("package").distinct().join(self._named, "package", "left_anti").withColumn("dir", F.lit(""))))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(a, b, via, label, from_path, to_path): between different files. Ends are looked up where they are, if few
+        nodes are called."""
+        e = self.lines.filter("kind <> 'contains'")
+        called = small(cut(e.select(c("dst").alias("node")).distinct()))
+        to = small(cut(self._at.join(called, "node").select(c("node").alias("dst"), c("target").alias("b"), c("at").alias("to_path"))))
+        at = self._at.select(c("node").alias("src"), c("target").alias("a"), c("at").alias("from_path"))
+        between = e.select("src", "dst", c("kind").alias("via"), "label").join(to, "dst").join(at, "src").filter("a <> b")
+        return stored(between.select("a", "b", "via", "label", "from_path", "to_path"))
+
+    @cached_property
+    def deps(self) -> DataFrame:
+        """(package, dep, weight, rank)."""
+        out = self.nodes.filter("kind = 'package' and external").select(c("id").alias("dst"), F.regexp_replace("name", "^(external:)+", "").alias("dep"))
+        owner = self._at.select(c("node").alias("src"), c("target").alias("file")).join(self.files.select("file", "package"), "file").select("src", "package")
+        counted = self.lines.filter("kind = 'imports'").join(out, "dst").join(owner, "src").groupBy("package", "dep").agg(F.sum("weight").alias("weight"))
+        counted = counted.join(self.files.select("package", bare(c("path")).alias("dep")).distinct(), ["package", "dep"], "left_anti")
+        return cut(counted.withColumn("rank", F.row_number().over(Window.partitionBy("package").orderBy(F.desc("weight"), "dep"))))
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """(path, package, tag, ord): distinct in a file, ord as first met."""
+        tagged = self.nodes.filter(~c("external")).select(c("id").alias("node"), F.posexplode("tags").alias("pos", "tag")).join(self._at.drop("at"), "node")
+        found = tagged.groupBy(c("target").alias("file"), "tag").agg(F.min(F.struct("node", "pos")).alias("ord"))
+        return cut(found.join(self.files.select("file", "path", "package"), "file").drop("file"))
+
+
+def _inner() -> Column:
+    return F.coalesce((c("kind") == "file") & ~c("external"), F.lit(False))
 
 
 def facts(nodes: DataFrame, edges: DataFrame) -> Facts:
-    """What the model needs of a graph (nodes: id, kind, name, path, lang, parent, loc, tags, external; edges:
-    src, dst, kind, label, weight). Packages go by name, so those of one name are one; a file without a
-    package is of `root`. A dependency that is called as a file of its package is none. Each table is
-    written once, for all that follows reads it several times."""
-    g = SimpleNamespace(nodes=nodes)
-    inner = F.coalesce((c("kind") == "file") & ~c("external"), F.lit(False))
-    at = cut(lift(g, inner).join(nodes.select(c("id").alias("node"), c("path").alias("at")), "node"))
-    up = lift(g, F.coalesce(c("kind") == "package", F.lit(False))).join(nodes.select(c("id").alias("target"), c("name").alias("package")), "target").select(c("node").alias("file"), "package")
-    files = nodes.filter(inner).select(c("id").alias("file"), "path", "lang", "loc").join(up, "file", "left").withColumn("package", F.coalesce("package", F.lit("root")))
-    files = cut(files)
-    named = nodes.filter((c("kind") == "package") & ~c("external")).groupBy(c("name").alias("package")).agg(F.max_by("path", "id").alias("dir"))
-    packages = named.unionByName(files.select("package").distinct().join(named, "package", "left_anti").withColumn("dir", F.lit("")))
-
-    end = lambda id_, file, path: at.select(c("node").alias(id_), c("target").alias(file), c("at").alias(path))
-    between = edges.filter("kind <> 'contains'").join(end("src", "a", "from_path"), "src").join(end("dst", "b", "to_path"), "dst").filter("a <> b")
-    between = between.select("a", "b", c("kind").alias("via"), "label", "from_path", "to_path")
-
-    out = nodes.filter("kind = 'package' and external").select(c("id").alias("dst"), F.regexp_replace("name", "^(external:)+", "").alias("dep"))
-    owner = end("src", "file", "p").drop("p").join(files.select("file", "package"), "file").select("src", "package")
-    counted = edges.filter("kind = 'imports'").join(out, "dst").join(owner, "src").groupBy("package", "dep").agg(F.sum("weight").alias("weight"))
-    counted = counted.join(files.select("package", bare(c("path")).alias("dep")).distinct(), ["package", "dep"], "left_anti")
-    deps = counted.withColumn("rank", F.row_number().over(Window.partitionBy("package").orderBy(F.desc("weight"), "dep")))
-
-    tagged = nodes.filter(~c("external")).select(c("id").alias("node"), F.posexplode("tags").alias("pos", "tag")).join(at.drop("at"), "node")
-    tags = tagged.groupBy(c("target").alias("file"), "tag").agg(F.min(F.struct("node", "pos")).alias("ord")).join(files.select("file", "path", "package"), "file").drop("file")
-    return Facts(nodes, cut(packages), files, cut(between), cut(deps), cut(tags))
+    """The facts of a graph (nodes: id, kind, name, path, lang, parent, loc, tags, external; edges: src, dst, kind,
+    label, weight). Packages go by name, so those of one name are one; a file without a package is of `root`.
+    A dependency that is called as a file of its package is none."""
+    return Facts(nodes, edges)
 
 
 def technology_of(f: Facts) -> DataFrame:
@@ -178,9 +208,10 @@ def components(f: Facts, placed: DataFrame) -> DataFrame:
 
 def _evidence(rows: DataFrame) -> DataFrame:
     """(level, src, dst, evidence): the first distinct (from, to, via) of each pair, at most EVIDENCE."""
-    once = rows.groupBy("level", "src", "dst", "from_path", "to_path", "via").agg(F.min("label").alias("label"))
-    few = first_k(once, ["level", "src", "dst"], ["from_path", "to_path", "via"], EVIDENCE)
-    return few.groupBy("level", "src", "dst").agg(F.array_sort(F.collect_list(F.struct(c("from_path").alias("from"), c("to_path").alias("to"), "via", "label"))).alias("evidence"))
+    rank = F.dense_rank().over(Window.partitionBy("level", "src", "dst").orderBy("from_path", "to_path", "via"))
+    few = rows.withColumn("n_", rank).filter(c("n_") <= EVIDENCE)  # cut within tasks before pairs meet
+    once = few.groupBy("level", "src", "dst", "from_path", "to_path", "via").agg(F.min("label").alias("label"))
+    return once.groupBy("level", "src", "dst").agg(F.array_sort(F.collect_list(F.struct(c("from_path").alias("from"), c("to_path").alias("to"), "via", "label"))).alias("evidence"))
 
 
 def evidence_label(evidence: Column) -> Column:
@@ -200,14 +231,14 @@ def evidence_technology(evidence: Column) -> Column:
 def backed(f: Facts, placed: DataFrame) -> DataFrame:
     """(level, src, dst, label, technology, evidence): relationships between components, and between containers,
     that edges between files back."""
-    at = placed.select("path", "component")
-    of = f.files.select("file", "path").join(at, "path").drop("path")
-    e = f.edges.join(of.select(c("file").alias("a"), c("component").alias("ka")), "a").join(of.select(c("file").alias("b"), c("component").alias("kb")), "b")
-    pair = lambda level, s, d: F.struct(F.lit(level).alias("level"), s.alias("src"), d.alias("dst"))
-    grains = F.array(pair("component", c("ka"), c("kb")), pair("container", container_of(c("ka")), container_of(c("kb"))))
-    rows = e.select(F.explode(grains).alias("p"), "from_path", "to_path", "via", "label").select("p.*", "from_path", "to_path", "via", "label").filter("src <> dst")
+    of = small(cut(f.files.select("file", "path").join(placed.select("path", "component").distinct(), "path").drop("path")))
+    e = f.edges.join(of.select(c("file").alias("b"), c("component").alias("dst")), "b").join(of.select(c("file").alias("a"), c("component").alias("src")), "a").filter("src <> dst")
+    parts = cut(_evidence(e.select(F.lit("component").alias("level"), "src", "dst", "from_path", "to_path", "via", "label")))
+    # what comes first between two containers comes first between two of their components
+    rows = parts.select(F.lit("container").alias("level"), container_of(c("src")).alias("src"), container_of(c("dst")).alias("dst"), F.inline("evidence")).filter("src <> dst")
+    both = parts.unionByName(_evidence(rows.withColumnsRenamed({"from": "from_path", "to": "to_path"})))
     technology = F.when(c("level") == "container", evidence_technology(c("evidence"))).otherwise("")
-    return _evidence(rows).select("level", "src", "dst", evidence_label(c("evidence")).alias("label"), technology.alias("technology"), "evidence")
+    return both.select("level", "src", "dst", evidence_label(c("evidence")).alias("label"), technology.alias("technology"), "evidence")
 
 
 def touches(f: Facts, gaps: DataFrame) -> DataFrame:

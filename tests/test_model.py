@@ -134,3 +134,10 @@ def test_names_dodge_made_names(spark):
 def test_first_k_of_a_hot_key(spark):
     df = spark.range(5000).select(F.lit("k").alias("k"), F.col("id").alias("v"))
     assert sorted(r.v for r in M.first_k(df, ["k"], ["v"], 7).collect()) == list(range(7))
+
+
+def test_facts_are_made_when_asked_for(spark):
+    nodes = spark.createDataFrame([(1, "package", "p", "p", None, None, 0, [], False), (2, "file", "a", "p/a.py", "python", 1, 3, [], False)], "id long, kind string, name string, path string, lang string, parent long, loc long, tags array<string>, external boolean")
+    f = M.facts(nodes, spark.createDataFrame([(1, 2, "contains", None, 1)], "src long, dst long, kind string, label string, weight long"))
+    assert [r.path for r in M.placement(f).collect()] == ["p/a.py"]
+    assert not {"edges", "deps", "tags"} & set(vars(f)) and f.files is f.files
