@@ -51,9 +51,10 @@ def component_id(container: Column, name: Column) -> Column:
 
 def capped_evidence(edges: DataFrame, cap: int = EVIDENCE) -> DataFrame:
     """(src, dst, n_evidence, evidence): the first distinct (from, to, via) of each pair."""
-    once = edges.select("src", "dst", "a", "b", "via").distinct()
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("src", "dst").orderBy("a", "b", "via"))).filter(F.col("n") <= cap)
-    return ranked.groupBy("src", "dst").agg(F.count("*").alias("n_evidence"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(">", F.col("a").cast("string"), F.col("b").cast("string"), F.col("via")).alias("t")))), lambda x: x["t"]), ";").alias("evidence"))
+    rank = F.dense_rank().over(Window.partitionBy("src", "dst").orderBy("a", "b", "via"))
+    few = edges.select("src", "dst", "a", "b", "via").withColumn("n", rank).filter(F.col("n") <= cap)  # cut within tasks before pairs meet
+    first = few.groupBy("src", "dst").agg(F.array_sort(F.collect_set(F.struct("n", F.concat_ws(">", F.col("a").cast("string"), F.col("b").cast("string"), F.col("via")).alias("t")))).alias("e"))
+    return first.select("src", "dst", F.size("e").cast("long").alias("n_evidence"), F.array_join(F.transform("e", lambda x: x["t"]), ";").alias("evidence"))
 
 
 def relationship_label(edges: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from graphloom.operators import lookup as L
 from graphloom.operators import model as M
 from graphloom.operators import traces as R
 from graphloom.plans import oracle
+from graphloom.plans.durable import cut, small
 from graphloom.plans.routes import matched
 from graphloom.sources import tree
 from graphloom.sources.projection import event_chain, graph, read
@@ -175,7 +176,10 @@ def _innermost(spark: SparkSession, d: str) -> DataFrame:
 
 def _evidence(g) -> DataFrame:
     parent = g.nodes.select("id", "parent")
-    e = g.edges.filter("kind = 'calls'").join(parent.select(F.col("id").alias("src"), F.col("parent").alias("p")), "src").join(parent.select(F.col("id").alias("dst"), F.col("parent").alias("q")), "dst")
+    e = g.edges.filter("kind = 'calls'")
+    called = small(cut(e.select(F.col("dst").alias("id")).distinct()))
+    above = small(cut(parent.join(called, "id").select(F.col("id").alias("dst"), F.col("parent").alias("q"))))
+    e = e.join(above, "dst").join(parent.select(F.col("id").alias("src"), F.col("parent").alias("p")), "src")
     return A.capped_evidence(e.select(F.col("p").alias("src"), F.col("q").alias("dst"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("via")))
 
 

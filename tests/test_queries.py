@@ -71,6 +71,16 @@ def test_route_join_does_not_compare_all_routes_of_a_first_part(spark):
         late.cancel()
 
 
+def test_evidence_is_cut_before_pairs_meet(spark):
+    from graphloom.operators import atlas as A
+
+    rows = [(1, 2, a, b, via) for a in range(5) for b in range(4) for via in ("x", None)] * 2 + [(1, 3, 7, 7, "x")]
+    out = A.capped_evidence(spark.createDataFrame(rows, "src long, dst long, a long, b long, via string"), 3)
+    assert {(r.dst, r.n_evidence, r.evidence) for r in out.collect()} == {(2, 3, "0>0;0>0>x;0>1"), (3, 1, "7>7>x")}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("HashAggregate") + plan.count("SortAggregate") <= 2  # no rows made distinct before
+
+
 def test_view_keeps_weight(spark):
     g = graph(spark, SF)
     up = G.lift(g, G.kept("package")).cache()
