@@ -195,8 +195,7 @@ def _dep_rank(g) -> DataFrame:
 
 
 def _ancestor_package(g) -> DataFrame:
-    packs = g.nodes.filter("kind = 'package'").select(F.col("id").alias("ancestor"))
-    return g.closure.join(packs, "ancestor").groupBy("node").agg(F.min_by("ancestor", "dist").alias("package"))
+    return G.lift(g, F.coalesce(F.col("kind") == "package", F.lit(False))).select("node", F.col("target").alias("package"))
 
 
 def _rank_pick(events: DataFrame) -> DataFrame:

@@ -81,6 +81,15 @@ def test_evidence_is_cut_before_pairs_meet(spark):
     assert "WindowGroupLimit" in plan and plan.count("HashAggregate") + plan.count("SortAggregate") <= 2  # no rows made distinct before
 
 
+def test_packages_above_are_found_without_all_ancestors(spark):
+    from graphloom.sources.projection import Graph
+
+    rows = [(0, "repo", None), (1, "package", 0), (2, "package", 1), (3, "file", 2), (4, "symbol", 3), (5, "file", 0), (6, "file", 1), (7, None, 2)]
+    out = catalog._ancestor_package(Graph(spark.createDataFrame(rows, "id long, kind string, parent long"), None))
+    assert {tuple(r) for r in out.collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (6, 1), (7, 2)}
+    assert "Aggregate" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_view_keeps_weight(spark):
     g = graph(spark, SF)
     up = G.lift(g, G.kept("package")).cache()
