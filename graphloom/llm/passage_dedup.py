@@ -5,18 +5,14 @@ the hashed sequence groups its subsequences: node c stands for all subsequences
 contain c, which share the min-hash at c. Nodes with r - l + 1 >= SPAN, about 2 n / SPAN of them, are the
 compact windows; they cover every subsequence of SPAN shingles or more.
 
-1. Windows of the same function and min-hash meet in a list, wherever they are. Each is linked to the
-   first text of its list, that with the smallest id, and to one that looks like it: a list is sorted by
-   small sketches of what surrounds the windows, and each window is linked to the first of its run of
-   equal sketches, the first of a run to that of the run before. So there are at most two links a window
-   and not one a pair, and looser variants at the head of a list do not hide a near copy further down. A
-   task links what it has of a list before it sends on the first of them and of each kind of sketch, at
-   most 257, so a list that a third of all texts are in is short where it is read.
-   Windows of the functions in CONTEXTS meet in further lists, of those whose shingles over a part of SPAN
-   from the least one on, or up to it, are the same too. With half of SPAN one of the two lies in any common
-   passage, so equal passages always meet there; with a quarter, in any with a changed word.
-2. Links of two texts on about one diagonal are intervals. Where those of at least ENOUGH functions, or
-   one by equal contexts, lie over SPAN shingles there is a candidate.
+1. Windows of the same function and min-hash meet in a list, wherever they are, each with a sign (a byte) of
+   every shingle that lies less than SPAN from c. Equal ones are a class: its first, that with the smallest id,
+   stands for it and the others are linked to it; a task does so before it sends on what it has of a list. In a
+   list no class is left out. Up to COMPARED classes are compared pair by pair. In longer lists those that agree
+   over SPAN, but for what one changed, added or removed word or two added ones take, are found by equal hashes
+   of the two runs before and after it, for each place and division; all that have the two runs are linked to the
+   first of them, so that there is a link to a representative and not one a pair.
+2. Links of two texts on about one diagonal are intervals, which are joined to candidates where they overlap.
 3. Candidates are verified on their shingles: windows of SPAN of which enough occur in the other passage
    are merged, trimmed, and kept where the Jaccard similarity of the two passages reaches SIMILARITY;
    where the merged run does not reach it, the parts that do are kept.
@@ -38,18 +34,20 @@ from graphloom.llm.durable import cut, map_arrow
 WORDS, SIMILARITY = 5, 0.8
 LEAST_WORDS = 50
 SPAN = LEAST_WORDS - WORDS + 1
-HASHES, ENOUGH = 5, 2
-#: By function, the part of SPAN that its further lists compare.
-CONTEXTS = (2, 4, 4)
+HASHES = 3
 SLIDE = 4  # two links lie on one diagonal if a run of such steps joins their shifts
 MARGIN = 16
 RANGE_BYTES, BROADCAST_ROWS = 8 << 20, 400_000
-FLUSH = 250_000  # windows that a task gathers before it links and packs them
+FLUSH = 150_000  # windows that a task gathers before it joins copies and packs them
+COMPARED = 128  # posts of a list up to which each pair is compared
+TILE = 50_000  # pairs that are compared at a time
 _PACKED = "part int, packed binary"
-#: near: four bytes, each of the least hash around c by another function.
-_POST = np.dtype([("key", "<u8"), ("doc", "<i8"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("near", "<u4")])
-_CODES = HASHES + len(CONTEXTS)
-_MEET = np.dtype([("doc", "<i8"), ("other", "<i8"), ("shift", "<i4"), ("l", "<i4"), ("r", "<i4"), ("f", "<i4")])
+_MEET = np.dtype([("doc", "<i8"), ("other", "<i8"), ("shift", "<i4"), ("l", "<i4"), ("r", "<i4")])
+
+
+def _post_kind(span: int) -> np.dtype:
+    """signs: a byte, not 0, of each shingle of the window that lies less than span from c, which is in the middle."""
+    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("c", "<i4"), ("signs", "u1", (-(-(2 * span - 1) // 8) * 8,))])
 
 
 def _sliding_min(v: np.ndarray, span: int) -> np.ndarray:
@@ -129,39 +127,149 @@ def _unblob(table: pa.Table, kind: np.dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("packed")])
 
 
+def _near_enough(span: int, similarity: float) -> int:
+    """Of how many shingles of span two passages have to agree."""
+    return int(np.ceil(2 * similarity / (1 + similarity) * span - 1e-9))
+
+
 def _links(a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
-    """Links of posts to others of their lists, where the two overlap over span shingles."""
-    shift = b["c"] - a["c"]
-    l, r = np.maximum(a["l"], b["l"] - shift), np.minimum(a["r"], b["r"] - shift)
-    good = (a["doc"] != b["doc"]) & (r - l + 1 >= span)
-    out = np.zeros(int(good.sum()), _MEET)
-    out["doc"], out["other"], out["shift"], out["l"], out["r"] = a["doc"][good], b["doc"][good], shift[good], l[good], r[good]
-    out["f"] = (a["key"][good] % np.uint64(_CODES)).astype(np.int32)
+    """Links of posts to others of their lists, to the smaller id, over what both windows hold."""
+    a, b = np.where(a["doc"] > b["doc"], a, b), np.where(a["doc"] > b["doc"], b, a)
+    a, b = (x[a["doc"] != b["doc"]] for x in (a, b))
+    reach = span - 1
+    low = [(x["signs"][:, :reach] != 0).sum(axis=1, dtype=np.int32) for x in (a, b)]
+    high = [(x["signs"][:, reach + 1 :] != 0).sum(axis=1, dtype=np.int32) for x in (a, b)]
+    out = np.zeros(len(a), _MEET)
+    out["doc"], out["other"], out["shift"] = a["doc"], b["doc"], b["c"] - a["c"]
+    out["l"], out["r"] = a["c"] - np.minimum(*low), a["c"] + np.minimum(*high)
     return out
 
 
-def _linked(posts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the posts of each list to its first text and to one with a like sketch, and the posts that
-    stand for the list: its first text's and the first of each leading byte of the sketches."""
-    posts = posts[np.lexsort((posts["c"], posts["doc"], posts["near"], posts["key"]))]
-    n = len(posts)
-    fresh, run, kind = np.ones(n, bool), np.ones(n, bool), np.ones(n, bool)
-    fresh[1:] = posts["key"][1:] != posts["key"][:-1]
-    run[1:] = fresh[1:] | (posts["near"][1:] != posts["near"][:-1])
-    kind[1:] = fresh[1:] | (posts["near"][1:] >> np.uint32(24) != posts["near"][:-1] >> np.uint32(24))
-    by_id = np.lexsort((posts["c"], posts["doc"], np.cumsum(fresh)))
-    least = by_id[fresh][np.cumsum(fresh) - 1]  # where each list's first text is
-    begins = np.flatnonzero(run)
-    like = begins[np.cumsum(run) - 1]
-    like[begins[1:]] = begins[:-1]
-    like[fresh] = np.flatnonzero(fresh)
-    one = np.flatnonzero(like != least)
-    two = like[one]
-    later = posts["doc"][one] > posts["doc"][two]
-    one, two = np.where(later, one, two), np.where(later, two, one)  # a link goes to the smaller id
-    out = np.concatenate([_links(posts, posts[least], span), _links(posts[one], posts[two], span)])
-    kind[least] = True
-    return out, posts[kind]
+def _classes(posts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first post of each class, that is of those of a list with equal windows, and links of the others to it."""
+    signs = np.ascontiguousarray(posts["signs"]).view("<u8")
+    kind = np.zeros(len(posts), np.uint64)
+    for k in range(signs.shape[1]):
+        kind = textkit.mix((kind ^ signs[:, k]) + np.uint64(k + 1))
+    order = np.lexsort((posts["c"], posts["doc"], kind, posts["key"]))
+    posts, kind = posts[order], kind[order]
+    fresh = np.ones(len(posts), bool)
+    fresh[1:] = (posts["key"][1:] != posts["key"][:-1]) | (kind[1:] != kind[:-1])
+    rest = np.flatnonzero(~fresh)
+    return posts[fresh], _links(posts[rest], posts[np.flatnonzero(fresh)[np.cumsum(fresh)[rest] - 1]], span)
+
+
+def _agreeing(found: np.ndarray, span: int) -> np.ndarray:
+    """The most places found of any span in a row, row by row."""
+    total = np.zeros((len(found), found.shape[1] + 1), np.int16)
+    np.cumsum(found, axis=1, out=total[:, 1:])
+    return (total[:, span:] - total[:, :-span]).max(axis=1)
+
+
+def _alike_pairs(x: np.ndarray, y: np.ndarray, span: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether signs x and y, row by row, agree in need of some span shingles, moved by up to two words or not, and
+    whether in more than need where they are."""
+    found = (x == y) & (x != 0)
+    surely = _agreeing(found, span) > need
+    other = found.copy()
+    for k in (1, 2):
+        for a, b in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+            same = (x[:, a] == y[:, b]) & (x[:, a] != 0)
+            found[:, a] |= same
+            other[:, b] |= same
+    return np.maximum(_agreeing(found, span), _agreeing(other, span)) >= need, surely
+
+
+def _short(posts: np.ndarray, first: np.ndarray, d: int, span: int, need: int) -> np.ndarray:
+    """Links of the alike pairs of lists of d posts that begin at first, each pair compared. Of posts surely alike to
+    the same earlier one a pair is not linked again."""
+    i, j = np.triu_indices(d, 1)
+    earlier = np.tri(d, k=-1, dtype=bool)
+    out = []
+    step = max(1, TILE // len(i))
+    for k in range(0, len(first), step):
+        at = first[k : k + step, None]
+        a, b = (at + i).reshape(-1), (at + j).reshape(-1)
+        other = posts["doc"][a] != posts["doc"][b]
+        alike, sure = np.zeros((2, len(at), d, d), bool)
+        alike[:, j, i], sure[:, j, i] = ((v & other).reshape(len(at), -1) for v in _alike_pairs(posts["signs"][a], posts["signs"][b], span, need))
+        sure |= sure.transpose(0, 2, 1)
+        least = (sure & earlier).argmax(axis=2)[:, :, None]
+        known = np.take_along_axis(sure, least, axis=1) & np.take_along_axis(sure, least, axis=2)
+        m, b, a = np.nonzero(alike & ~known)
+        out.append(_links(posts[at[m, 0] + b], posts[at[m, 0] + a], span))
+    return np.concatenate(out)
+
+
+def _long(posts: np.ndarray, span: int, need: int) -> np.ndarray:
+    """Links of the posts of lists of any length to the first of each group of alike ones, without comparing pairs:
+    alike windows agree in two runs, need shingles together, with what a changed word takes in between. For each
+    place and each division of the runs those that agree are a group, of which any two are alike."""
+    n, wide, wipe = len(posts), 2 * span - 1, span - need
+    power = np.ones(wide + 1, np.uint64)
+    power[1:] = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(power)
+    back = np.array([pow(int(x), -1, 1 << 64) for x in power], np.uint64)
+    signs = posts["signs"][:, :wide]
+    run, some = np.zeros((wide + 1, n), np.uint64), np.zeros((wide + 1, n), np.int16)
+    for k in range(wide):
+        run[k + 1] = run[k] + textkit.mix(signs[:, k].astype(np.uint64) + np.uint64(1)) * power[k]
+        some[k + 1] = some[k] + (signs[:, k] != 0)
+    lists = textkit.mix(posts["key"])
+    met: list[np.ndarray] = []
+
+    def group(parts: list[tuple[int, int, int, int]]) -> None:
+        """Links posts that agree in the runs [a, b) and [c, d) of any of the parts, each run from its begin on; those
+        of the last part, which has most in between, only to those of the first, which has least."""
+        hashes, at, part = [], [], []
+        for k, (a, b, c, d) in enumerate(parts):
+            whole = np.flatnonzero(some[b] - some[a] + some[d] - some[c] == need)
+            hashes.append(lists[whole] + (run[b][whole] - run[a][whole]) * back[a] + textkit.mix((run[d][whole] - run[c][whole]) * back[c]))
+            at.append(whole)
+            part.append(np.full(len(whole), k))
+        h, at, part = np.concatenate(hashes), np.concatenate(at), np.concatenate(part)
+        if not len(h):
+            return
+        order = np.argsort(h)
+        h, at, part = h[order], at[order], part[order]
+        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(begins, len(h)))
+        least, narrow = (np.repeat(np.minimum.reduceat(np.where(part <= k, at, n), begins), size) for k in (1, 0))
+        least = np.where(part == 2, narrow, least)
+        found = np.flatnonzero((least != at) & (least < n))
+        fresh = found[last[at[found]] != least[found]]
+        last[at[fresh]] = least[fresh]
+        met.append(at[fresh] * n + least[fresh])
+
+    last = np.full(n, -1, np.int64)
+    middle, between = span - 1, (wipe - 1, wipe, wipe + 1)
+    for one in range(need + 1):
+        for start in range(span):
+            # the place is in the first run, which lies where it does in all, or in the second
+            if start <= middle < start + one:
+                group([(start, start + one, min(wide, start + one + w), min(wide, start + need + w)) for w in between])
+            end = start + span
+            if end - (need - one) <= middle < end:
+                group([(max(0, end - need - w), max(0, end - need - w + one), end - (need - one), end) for w in between])
+        if sum(map(len, met)) > 4 * n:
+            met = [np.unique(np.concatenate(met))]
+    pairs = np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+    return _links(posts[pairs // n], posts[pairs % n], span)
+
+
+def _linked(posts: np.ndarray, span: int, need: int, compared: int = COMPARED) -> np.ndarray:
+    """Links of all alike posts of each list: copies to the first of their class, and classes to each other."""
+    posts, links = _classes(posts, span)
+    posts = posts[np.lexsort((posts["c"], posts["doc"], posts["key"]))]
+    begins = np.flatnonzero(np.concatenate(([True], posts["key"][1:] != posts["key"][:-1])))
+    size = np.diff(np.append(begins, len(posts)))
+    out = [links]
+    for d in np.unique(size[(size > 1) & (size <= compared)]).tolist():
+        out.append(_short(posts, begins[size == d], d, span, need))
+    long = np.repeat(size > compared, size)
+    if long.any():
+        out.append(_long(posts[long], span, need))
+    return np.concatenate(out)
 
 
 def _share(hashed: np.ndarray, parts: int) -> np.ndarray:
@@ -170,52 +278,34 @@ def _share(hashed: np.ndarray, parts: int) -> np.ndarray:
 
 def _keyed(hashed: np.ndarray, code: int) -> np.ndarray:
     """Hashes whose remainder is the code of their lists."""
-    low = hashed // np.uint64(_CODES) * np.uint64(_CODES)
-    return np.where(low > np.uint64(2**64 - 1 - _CODES), np.uint64(0), low) + np.uint64(code)
-
-
-def _halves(grams: np.ndarray, first: np.ndarray, c: np.ndarray, own: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Which of the places c have `half` shingles up to them, then from them on, in their text, and their hashes."""
-    odd = np.arange(1, 2 * half, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2) | np.uint64(1)
-    for side, a, good in ((0, c - half + 1, c - half + 1 >= first[own]), (1, c, c + half <= first[own + 1])):
-        at = np.flatnonzero(good)
-        yield at, textkit.mix((textkit.mix(grams[a[at][:, None] + np.arange(half)]) * odd).sum(axis=1, dtype=np.uint64) + np.uint64(side))
-
-
-def _sketches(hashed: np.ndarray, span: int) -> np.ndarray:
-    """A byte of the least hash of about span around each place; near a text's ends it may be a neighbour's."""
-    side = np.full(span // 2, np.iinfo(np.uint64).max, np.uint64)
-    least = _sliding_min(np.concatenate([side, hashed, side]), 2 * len(side) + 1)
-    return (textkit.mix(least) >> np.uint64(56)).astype(np.uint32)
+    low = hashed // np.uint64(HASHES) * np.uint64(HASHES)
+    return np.where(low > np.uint64(2**64 - 1 - HASHES), np.uint64(0), low) + np.uint64(code)
 
 
 def _posts(w: textkit.Words, ids: np.ndarray, words: int, span: int) -> Iterator[np.ndarray]:
     """Posts of the texts of a chunk, by function."""
     grams, first = _spread(w, words)
-    hashes = [textkit.mix(grams * np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) + np.uint64(f)) for f in range(HASHES)]
-    sketches = [_sketches(h, span) for h in hashes]
-    for f, hashed in enumerate(hashes):
+    reach = span - 1
+    sign = np.zeros(len(grams) + 2 * reach, np.uint8)
+    sign[reach : len(grams) + reach] = textkit.mix(grams + np.uint64(HASHES)) % np.uint64(255) + np.uint64(1)
+    around = np.arange(2 * reach + 1)
+    for f in range(HASHES):
+        hashed = textkit.mix(grams * np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) + np.uint64(f))
         l, c, r = compact_windows(hashed, first, span)
         own = np.searchsorted(first, c, "right") - 1
-        posts = np.zeros(len(c), _POST)
-        posts["key"], posts["doc"] = _keyed(hashed[c], f), ids[own]
-        posts["l"], posts["c"], posts["r"] = l - first[own], c - first[own], r - first[own]
-        for k in range(1, HASHES):
-            posts["near"] = posts["near"] << np.uint32(8) | sketches[(f + k) % HASHES][c]
+        posts = np.zeros(len(c), _post_kind(span))
+        posts["key"], posts["doc"], posts["c"] = _keyed(hashed[c], f), ids[own], c - first[own]
+        place = c[:, None] + around - reach
+        posts["signs"][:, : len(around)] = np.where((place >= l[:, None]) & (place <= r[:, None]), sign[place + reach], 0)
         yield posts
-        if f < len(CONTEXTS):
-            for at, context in _halves(grams, first, c, own, span // CONTEXTS[f]):
-                strong = posts[at]
-                strong["key"] = _keyed(context, HASHES + f)
-                yield strong
 
 
 def _post(parts: int, words: int, span: int):
-    """Of each lot of windows: the posts that stand for their lists by range of keys (parts 0 on), and the links within
-    the lot by range of texts (parts `parts` on)."""
+    """Of each lot of windows: a post for each class by range of keys (parts 0 on), and the links of copies within the
+    lot by range of texts (parts `parts` on)."""
 
     def lot(posts: np.ndarray) -> pa.RecordBatch:
-        links, heads = _linked(posts, span)
+        heads, links = _classes(posts, span)
         rows = [_blobs(_share(heads["key"], parts), parts, heads), _blobs(_share(links["doc"].view(np.uint64), parts), parts, links)]
         part = pa.concat_arrays([rows[0].column(0), pa.array(rows[1].column(0).to_numpy() + np.int32(parts), pa.int32())])
         return pa.RecordBatch.from_arrays([part, pa.concat_arrays([x.column(1) for x in rows])], ["part", "packed"])
@@ -235,14 +325,14 @@ def _post(parts: int, words: int, span: int):
     return run
 
 
-def _meet(parts: int, span: int):
+def _meet(parts: int, span: int, need: int):
     """Of each range of keys: the links of its posts, by range of texts; links made before as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         if part >= parts:
             return pa.table([pa.array([part - parts] * len(table), pa.int32()), table.column("packed")], names=["part", "packed"])
-        links, _ = _linked(_unblob(table, _POST), span)
+        links = _linked(_unblob(table, _post_kind(span)), span, need)
         return pa.Table.from_batches([_blobs(_share(links["doc"].view(np.uint64), parts), parts, links)])
 
     return run
@@ -271,14 +361,9 @@ def overlaps(l: list[int], r: list[int], f: list[int], enough: int, span: int) -
     return out
 
 
-def _overlaps(links: np.ndarray, sure: np.ndarray, enough: int, span: int) -> list[tuple[int, int]]:
-    own = np.concatenate([links, *[sure] * (enough - 1)])
-    kind = np.concatenate((links["f"], np.repeat(np.arange(1, enough) * _CODES, len(sure)) + np.tile(sure["f"], enough - 1)))
-    return overlaps(own["l"].tolist(), own["r"].tolist(), kind.tolist(), enough, span)
-
-
-def _sweep(enough: int, span: int):
-    """Candidates of a range of texts. A link by equal contexts counts for as many functions as are enough."""
+def _sweep(least: int):
+    """Candidates of a range of texts: links of two texts on about one diagonal, joined where they overlap, of least
+    shingles or more."""
     names = ["doc", "other", "shift", "s", "e"]
 
     def run(table: pa.Table) -> pa.Table:
@@ -290,10 +375,9 @@ def _sweep(enough: int, span: int):
         rows = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = links[a:b]
-            sure = own[own["f"] >= HASHES]
-            if b - a >= enough or len(sure):
-                shift = int(own["shift"][(b - a) // 2])
-                rows += [(int(own["doc"][0]), int(own["other"][0]), shift, s, e) for s, e in _overlaps(own, sure, enough, span)]
+            shift = int(own["shift"][(b - a) // 2])
+            found = overlaps(own["l"].tolist(), own["r"].tolist(), [0] * (b - a), 1, least)
+            rows += [(int(own["doc"][0]), int(own["other"][0]), shift, s, e) for s, e in found]
         return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=names)
 
     return run
@@ -308,7 +392,7 @@ def passages(x: np.ndarray, y: np.ndarray, span: int, similarity: float) -> list
     at = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
     found = y[order][at] == x
     total = np.concatenate(([0], np.cumsum(found)))
-    need = int(np.ceil(2 * similarity / (1 + similarity) * span - 1e-9))
+    need = _near_enough(span, similarity)
     dense = np.flatnonzero(total[span:] - total[:-span] >= need)
     if not len(dense):
         return []
@@ -394,7 +478,10 @@ def _verify(words: int, span: int, similarity: float):
         for batch in batches:
             rows = []
             for doc, other, low, olow, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b, oa, ob, alike in passages(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), span, similarity):
+                own, their = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                # what one has added may leave too little of its own span, but not of the other's
+                found = passages(own, their, span, similarity) or [(c, d, a, b, alike) for a, b, c, d, alike in passages(their, own, span, similarity)]
+                for a, b, oa, ob, alike in found:
                     rows.append((doc, low + a, low + b + words - 1, other, olow + oa, olow + ob + words - 1, alike))
             yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], pa.array([r[6] for r in rows], pa.float64())], ["doc_id", "first_word", "end_word", "other_id", "other_first", "other_end", "similarity"])
 
@@ -405,19 +492,21 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarit
     """(doc_id, first_word, end_word, other_id, other_first, other_end, similarity): passages of
     least_words words or more of docs (doc_id, text) that another document, with a smaller id, has too.
 
-    Passages of one text in several documents are each linked to one or two of the others, not to all.
-    Which of them follows from the tables' division into tasks: a task knows the smallest id of what it has. Repeats within one document are not searched.
+    Copies of a passage are each linked to the first of their class and not to all, and of classes that are alike
+    to the same earlier one not each pair is linked; each passage that is alike to another is linked to it or, in
+    such steps, by others that are. Repeats within one document are not searched.
     Null ids, null texts and texts of fewer words have none. Rows that repeat an id are one document: a
     passage of any of its rows counts, and is listed once. Other columns are not read.
     """
     span = least_words - WORDS + 1
+    need = _near_enough(span, similarity)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    posts = size / 6 * 2 / span * (HASHES + 2 * len(CONTEXTS)) * _POST.itemsize
+    posts = size / 6 * 2 / span * HASHES * _post_kind(span).itemsize
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posts / RANGE_BYTES) + 1)
     packed = map_arrow(base, _post(parts, WORDS, span), _PACKED)
-    links = packed.groupBy("part").applyInArrow(_meet(parts, span), _PACKED)
-    found = cut(links.groupBy("part").applyInArrow(_sweep(ENOUGH, span), "doc long, other long, shift long, s long, e long"))
+    links = packed.groupBy("part").applyInArrow(_meet(parts, span, need), _PACKED)
+    found = cut(links.groupBy("part").applyInArrow(_sweep(need), "doc long, other long, shift long, s long, e long"))
     return _alike(base, found, span, similarity)
 
 

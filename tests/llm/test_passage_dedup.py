@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from graphloom.llm import passage_dedup
 from graphloom.llm.passage_dedup import compact_windows, overlaps, passages, repeated_passages
 
 
@@ -189,3 +190,67 @@ def test_recall_by_length_edit_and_variants(spark, parts):
     share = {c: sum(frozenset((ids[a], ids[b])) in met for a, b in pairs) / len(pairs) for c, pairs in cells.items()}
     mean = sum(share.values()) / len(share)
     assert min(share.values()) >= 0.8 and mean >= 0.95, (mean, {c: round(x, 2) for c, x in share.items() if x < 0.9})
+
+
+@pytest.mark.parametrize("variants", [30, 90])
+def test_no_place_of_a_list_hides_a_near_copy(spark, variants):
+    """One passage in variants that are not alike, each with a near copy, so that lists hold all of them (with 90, more
+    than are compared pair by pair); a copy has a word changed, added or removed, or two added."""
+    r = random.Random(5)
+    word = lambda: f"v{r.getrandbits(48):x}"
+    base = [word() for _ in range(58)]
+    docs, want = [], []
+    for v in range(variants):
+        own = list(base)
+        for at in (r.randrange(20, 28), r.randrange(32, 38)):
+            own[at] = word()
+        near, at = list(own), r.randrange(8, 50)
+        near[at : at + (0 if v % 4 in (1, 3) else 1)] = [[word()], [word()], [], [word(), word()]][v % 4]
+        want.append((len(docs), len(docs) + 1))
+        docs += [" ".join([*(word() for _ in range(30)), *x, *(word() for _ in range(30))]) for x in (own, near)]
+    ids = list(range(len(docs)))
+    r.shuffle(ids)
+    rows = repeated_passages(spark.createDataFrame(list(zip(ids, docs, strict=True)), "doc_id long, text string").repartition(3)).collect()
+    met = {frozenset((x.doc_id, x.other_id)) for x in rows}
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ([*x.split()[30:-30]] for x in docs)]
+    found = [frozenset((ids[a], ids[b])) in met for a, b in want]
+    kinds = [sum(found[k::4]) / len(found[k::4]) for k in range(4)]
+    print(f"near copies found: changed {kinds[0]:.2f}, one added {kinds[1]:.2f}, removed {kinds[2]:.2f}, two added {kinds[3]:.2f}")
+    assert all(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for a, b in want)
+    assert sum(found) >= 0.97 * len(want), kinds
+
+
+def test_long_lists_link_what_comparing_each_pair_links():
+    r = np.random.default_rng(9)
+    span, need = 46, 41
+    sign = lambda n: r.integers(1, 256, n, dtype=np.uint8)
+    base = sign(91)
+    rows = []
+    for d in range(60):
+        if d % 3 == 0 or not rows:
+            own = base.copy()
+            for at in r.integers(0, 91, 6):
+                own[at : at + 5] = sign(len(own[at : at + 5]))
+            own[45] = base[45]
+        else:
+            own, at = rows[r.integers(len(rows))].copy(), int(r.integers(48, 80))
+            if d % 3 == 1:
+                own[at : at + 5] = sign(5)
+            else:  # a word added
+                own = np.concatenate([own[: at], sign(5), own[at + 4 : -1]])
+        rows.append(own)
+    posts = np.zeros(len(rows), passage_dedup._post_kind(span))
+    posts["doc"], posts["c"] = np.arange(len(rows)), 100
+    posts["signs"][:, :91] = rows
+    links = [{(int(x["doc"]), int(x["other"])) for x in passage_dedup._linked(posts, span, need, compared)} for compared in (100, 1)]
+
+    def groups(pairs):
+        up = list(range(len(rows)))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        return [find(x) for x in range(len(rows))]
+
+    same = lambda g: {(a, b) for a in range(len(g)) for b in range(a) if g[a] == g[b]}
+    short, long = (same(groups(x)) for x in links)
+    assert short and short == long, (len(short), sorted(short ^ long)[:5])
