@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The most rows that are sent to every executor.
 BROADCAST_ROWS = 400_000
+#: The rows that a task sums or sorts, about, where the rows are dealt.
+TASK_ROWS, FEW = 200_000, 8
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,3 +62,11 @@ def stored(df: DataFrame) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """df, which is a cut, marked to be sent to every executor if it has few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys, in parts of about TASK_ROWS of so many rows: for sums with nearly a group a row, whose memory a
+    task would else hold for as many rows as a split of a file or a joined lot of shuffled parts has. Beyond FEW
+    parts there are as many as a shuffle has at least, as a join divides anew what has fewer."""
+    parts = rows // TASK_ROWS + 1
+    return df.repartition(parts if parts <= FEW else max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

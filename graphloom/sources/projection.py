@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.durable import dealt
+
 #: Where each kind of node's ids begin.
 REGION, NATION, BRAND, SUPPLIER, CUSTOMER, ORDER = 1, 100, 500, 10_000, 1_000_000, 100_000_000
 #: Containment is at most this deep: repository, two levels of packages, file, symbol.
@@ -70,11 +72,14 @@ def graph(spark: SparkSession, sf_dir: str, home: bool = False) -> Graph:
     def edge(df, src, dst, kind, label):
         return df.select(long(src).alias("src"), long(dst).alias("dst"), F.lit(kind).alias("kind"), label.cast("string").alias("label"), "weight")
 
+    n_lines = lines.count()
+    lines = dealt(lines, n_lines, "l_orderkey")
     at_order = lines.join(orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
     if home:
         at_order = at_order.join(customer.select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).join(supplier.select("s_suppkey", "s_nationkey"), (c("l_suppkey") == c("s_suppkey")) & (c("c_nationkey") == c("s_nationkey")))
     calls = at_order.groupBy("l_orderkey", "l_suppkey", "l_returnflag").agg(F.count("*").alias("weight"))
-    imports = lines.join(orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.count("*").alias("weight"))
+    bought = lines.join(orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).select("o_custkey", "p_brand")
+    imports = dealt(bought, n_lines, "o_custkey").groupBy("o_custkey", "p_brand").agg(F.count("*").alias("weight"))
     lowest = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("lowest"))
     flows = supplier.join(lowest, c("s_nationkey") == c("c_nationkey")).join(nation, c("s_nationkey") == c("n_nationkey")).withColumn("weight", F.lit(1).cast("long"))
     contains = all_nodes.filter("parent is not null").withColumn("weight", F.lit(1).cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import graph as G
-from graphloom.plans import catalog
+from graphloom.plans import catalog, durable
 from graphloom.plans.routes import matched
 from graphloom.sources.projection import graph
 
@@ -137,3 +137,18 @@ def test_stream_equals_table(spark, tmp_path):
 def test_hotspots_read_the_graph_few_times(spark):
     plan = G.hotspots(graph(spark, SF), "file")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("InMemoryRelation") < 30
+
+
+@pytest.mark.parametrize("step", ["calls", "imports", "raised", "view_file"])
+def test_rows_of_a_task_are_bounded_however_many_there_are(spark, monkeypatch, step):
+    for module in (durable, G):
+        monkeypatch.setattr(module, "TASK_ROWS", 300)
+    g = graph(spark, SF)
+    made = {"calls": lambda: g.edges.filter("kind = 'calls'"), "imports": lambda: g.edges.filter("kind = 'imports'"), "raised": lambda: G.raised(g, G.kept("file")), "view_file": lambda: G.view(g, "file")}[step]
+    monkeypatch.setattr(durable, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        rows = made().groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows[0] > 2000 and rows[1] <= 3 * 300, rows
