@@ -184,9 +184,8 @@ def _evidence(g) -> DataFrame:
 
 
 def _relationships(g) -> DataFrame:
-    up = G.lift(g, G.kept("package"))
-    e = g.edges.filter("kind <> 'contains'").join(up.select(F.col("node").alias("src"), F.col("target").alias("a")), "src").join(up.select(F.col("node").alias("dst"), F.col("target").alias("b")), "dst")
-    return A.relationship_label(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "label"))
+    ends = G.raised(g, G.kept("package"))
+    return A.relationship_label(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "label"))
 
 
 def _dep_rank(g) -> DataFrame:
